@@ -75,25 +75,36 @@ def rank_in_group(
 
 
 def rows_ahead(
-    df: DataFrame, marked: Column, group: str, item: str, score: str, keep: Sequence[str] = ()
+    df: DataFrame, marked: Column, group: Sequence[str], item: str, score: str, keep: Sequence[str] = ()
 ) -> DataFrame:
     """Position of each marked row in its group by (score desc, item asc), without ranking the rest.
 
     The marked rows (a few per group) meet their group in an equi-join and the rows ahead are
     counted, so a hot group is split by the skew join and combined map-side.
     """
+    group = list(group)
     target = df.where(marked).select(
-        F.col(group), F.col(item).alias("_item"), F.col(score).alias("_score"), *[F.col(c).alias(f"_k_{c}") for c in keep]
+        *group, F.col(item).alias("_item"), F.col(score).alias("_score"), *[F.col(c).alias(f"_k_{c}") for c in keep]
     )
     ahead = (F.col(score) > F.col("_score")) | ((F.col(score) == F.col("_score")) & (F.col(item) <= F.col("_item")))
     return (
-        df.select(group, item, score)
+        df.select(*group, item, score)
         .join(target, group)
-        .groupBy(group, F.col("_item").alias(item), *[F.col(f"_k_{c}").alias(c) for c in keep])
+        .groupBy(*group, F.col("_item").alias(item), *[F.col(f"_k_{c}").alias(c) for c in keep])
         .agg(F.count_if(ahead).alias("position"), F.count("*").alias("group_size"))
     )
 
 
+def top_k(df: DataFrame, by: Sequence[str], order_by: Sequence[Column], k: int, name: str = "position") -> DataFrame:
+    """The first k rows of each group with their position.
+
+    Spark turns the filter on ``row_number`` into a group limit inside every map task, so at most
+    k rows per group and task are shuffled.
+    """
+    rank = F.row_number().over(W.partitionBy(*by).orderBy(*order_by))
+    return df.withColumn(name, rank).where(F.col(name) <= k)
+
+
 def group_totals(df: DataFrame, by: Sequence[str], totals: dict[str, Column]) -> DataFrame:
     """Group aggregates on every row, as aggregate + join instead of a partition-wide window.
 
