@@ -1,0 +1,231 @@
+"""The feature matrix: profiles, document scores and leader values joined onto impressions."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from clickloom.functions import scalars as S
+from clickloom.operators.profiles import CLICK_STATS, VIEW_STATS
+from clickloom.operators.ranks import global_position
+from clickloom.plans.wide import AD_KEYS, PAGE_KEYS
+
+VIEW_AD_KEYS = tuple(f"ad_{k}" for k in PAGE_KEYS if k != "uuid")
+DOC_KINDS = {"topic": ("topics", 8), "entity": ("entities", 8), "category": ("categories", 2)}
+
+
+def insert_profiles(
+    df: DataFrame, profiles: DataFrame, keys: Mapping[str, str], stats: Sequence[str], infix: str = "", how: str = "left"
+) -> DataFrame:
+    """Join the long-form profile of each key onto the rows as ``<column><infix>_<stat>``, 0 where missing.
+
+    ``keys`` maps a column of ``df`` to the ``key_name`` it is looked up under. Null keys match the
+    null profile. Profiles are one row per key value, so Spark broadcasts the small ones by measured
+    size and sort-merges the others, splitting hot keys.
+    """
+    for column, key_name in keys.items():
+        names = [f"{column}{infix}_{s}" for s in stats]
+        one = profiles.where(F.col("key_name") == key_name).select(
+            F.col("key_value").alias("_key"), *[F.col(s).alias(n) for s, n in zip(stats, names, strict=True)]
+        )
+        same = F.col(column).cast("string").eqNullSafe(F.col("_key"))
+        df = df.join(one, same, how).drop("_key").fillna(0, subset=names)
+    return df
+
+
+def insert_click_profiles(df: DataFrame, profiles: DataFrame) -> DataFrame:
+    """11 statistics of each of the 10 keys."""
+    return insert_profiles(df, profiles, {k: k for k in (*PAGE_KEYS, *AD_KEYS)}, CLICK_STATS)
+
+
+def insert_view_profiles(df: DataFrame, profiles: DataFrame) -> DataFrame:
+    """25 page-view statistics of 5 page keys, and the same tables again for 4 ad keys."""
+    keys = {k: k for k in PAGE_KEYS} | {k: k.removeprefix("ad_") for k in VIEW_AD_KEYS}
+    return insert_profiles(df, profiles, keys, VIEW_STATS, infix="_pgvw")
+
+
+def leader_columns(df: DataFrame, group: str, score: str, item: str, columns: Sequence[str], prefix: str = "clk1_") -> DataFrame:
+    """Columns of the group's best item (highest score, lowest id) repeated on all rows of the group.
+
+    Only (score, id) goes through the aggregate; the best rows are then picked and joined back.
+    """
+    best = df.groupBy(group).agg(F.max(F.struct(F.col(score), (-F.col(item)).alias("n"))).alias("_best"))
+    leaders = (
+        df.select(group, item, *columns)
+        .join(best.select(group, (-F.col("_best.n")).alias("_item")), group)
+        .where(F.col(item) == F.col("_item"))
+        .select(group, *[F.col(c).alias(prefix + c) for c in columns])
+    )
+    return df.join(leaders, group)
+
+
+def document_numerics() -> list[str]:
+    """Weighted scores (both roles) and the first page-role type rates of each document table."""
+    out = []
+    for kind, (plural, k) in DOC_KINDS.items():
+        out += [f"{plural}_prob", f"ad_{plural}_prob", *[f"{kind}_prob_{i}" for i in range(1, k + 1)]]
+    return out
+
+
+def key_numerics() -> list[str]:
+    """Profile statistics used as features: no clicks, and no smallest gap for page keys."""
+    kept = [s for s in CLICK_STATS if s != "clicks"]
+    page = [f"{k}_{s}" for k in PAGE_KEYS for s in kept if s != "gap_min"]
+    return page + [f"{k}_{s}" for k in AD_KEYS for s in kept]
+
+
+def view_numerics() -> list[str]:
+    return [f"{k}_pgvw_{s}" for k in (*PAGE_KEYS, *VIEW_AD_KEYS) for s in VIEW_STATS]
+
+
+def tree_numerics() -> list[str]:
+    return ["day", "hour", "publish_ts", "ad_publish_ts", *document_numerics(), *key_numerics(), *view_numerics()]
+
+
+def leader_numerics() -> list[str]:
+    return [c for c in tree_numerics() if c.startswith("ad_")]
+
+
+DUMMIES = ("platform1", "platform2", "platform3", "countryUS", "countryCA", "countryGB", "countryRest")
+
+
+def tree_features() -> list[str]:
+    return [*tree_numerics(), *[f"clk1_{c}" for c in leader_numerics()], *DUMMIES, "num_ads"]
+
+
+def tree_matrix(df: DataFrame, label: str = "clicked", only: Sequence[str] | None = None) -> DataFrame:
+    """Label, then every feature as double, then the keys.
+
+    ``df`` holds the inserted profiles; ``only`` keeps the named features (a model's own list).
+    The leader is the ad with the highest ``ad_id_prob``.
+    """
+    wanted = [c for c in tree_features() if only is None or c in set(only)]
+    lead = [c for c in leader_numerics() if f"clk1_{c}" in wanted]
+    if lead:
+        df = leader_columns(df, "display_id", "ad_id_prob", "ad_id", lead)
+    dummies = dict(zip(DUMMIES, [*S.platform_dummies(), *S.country_dummies()], strict=True))
+    label_col = F.coalesce(F.col(label), F.lit(0)) if label in df.columns else F.lit(0)
+    cols = [(dummies[c] if c in dummies else F.col(c)).cast("double").alias(c) for c in wanted]
+    return df.select(label_col.cast("double").alias(label), *cols, "display_id", "ad_id")
+
+
+# --- scaling ---------------------------------------------------------------------------------
+
+
+def scaling_statistics(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, float | None]]:
+    """Min, max, mean and sample deviation of every column from one aggregate; one small row reaches the driver."""
+    aggs = []
+    for c in columns:
+        x = F.col(c).cast("double")
+        aggs += [F.min(x).alias(f"{c}|min"), F.max(x).alias(f"{c}|max"), F.avg(x).alias(f"{c}|mean"), F.stddev_samp(x).alias(f"{c}|sd")]
+    row = df.agg(*aggs).first()
+    return {c: {s: row[f"{c}|{s}"] for s in ("min", "max", "mean", "sd")} for c in columns}
+
+
+def _scaled(c: str, shift: float | None, width: float | None):
+    """(x - shift) / width, null when the column is constant."""
+    if shift is None or not width:
+        return F.lit(None).cast("double")
+    return (F.col(c).cast("double") - F.lit(shift)) / F.lit(width)
+
+
+def minmax(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    st = scaling_statistics(df, columns)
+    width = {c: None if st[c]["max"] is None else st[c]["max"] - st[c]["min"] for c in columns}
+    return df.select(*keep, *[_scaled(c, st[c]["min"], width[c]).alias(c) for c in columns])
+
+
+def zscore(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    st = scaling_statistics(df, columns)
+    return df.select(*keep, *[_scaled(c, st[c]["mean"], st[c]["sd"]).alias(c) for c in columns])
+
+
+def category_levels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, code): codes 1.. in value order per column (numbers by size, texts by text).
+
+    Levels are numbered by range partitions, so a column with billions of levels stays off the driver.
+    """
+    kinds = dict(df.dtypes)
+    pairs = F.array(*[
+        F.struct(
+            F.lit(c).alias("column"),
+            (F.lit(None).cast("double") if kinds[c] == "string" else F.col(c).cast("double")).alias("num"),
+            F.col(c).cast("string").alias("value"),
+        )
+        for c in columns
+    ])
+    levels = df.select(F.explode(pairs).alias("p")).select("p.*").where("value IS NOT NULL").distinct()
+    placed = global_position(levels, [F.col("column"), F.col("num"), F.col("value")], "pos")
+    starts = placed.groupBy("column").agg((F.min("pos") - 1).alias("start"), F.count("*").alias("levels"))
+    return placed.join(F.broadcast(starts), "column").select(  # one row per column
+        "column", "value", (F.col("pos") - F.col("start")).alias("code"), "levels"
+    )
+
+
+def category_codes(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Columns replaced by their level codes; null gets a level of its own after the others."""
+    levels = category_levels(df, columns)
+    counts = {r["column"]: r["n"] for r in levels.groupBy("column").agg(F.max("levels").alias("n")).collect()}
+    for c in columns:
+        one = levels.where(F.col("column") == c).select(F.col("value").alias("_value"), F.col("code").alias(f"_code_{c}"))
+        df = df.join(one, F.col(c).cast("string") == F.col("_value"), "left").drop("_value")
+    codes = [F.coalesce(f"_code_{c}", F.lit(counts.get(c, 0) + 1)).alias(c) for c in columns]
+    return df.select(*keep, *codes)
+
+
+def bayes_matrix(df: DataFrame, categories: Sequence[str], numerics: Sequence[str], label: str = "clicked") -> DataFrame:
+    """Label, z-scored numerics and category codes, with the keys."""
+    keys = ["display_id", "ad_id"]
+    st = scaling_statistics(df, numerics)
+    scaled = df.select(*keys, label, *categories, *[_scaled(c, st[c]["mean"], st[c]["sd"]).alias(c) for c in numerics])
+    return category_codes(scaled, categories, [*keys, label, *numerics])
+
+
+def sequence_matrix(df: DataFrame, numerics: Sequence[str], label: str = "clicked") -> DataFrame:
+    """Rows numbered by time with min-max numerics and dummies."""
+    df = df.fillna(0, subset=[c for c in ("publish_ts", "ad_publish_ts") if c in df.columns])
+    st = scaling_statistics(df, numerics)
+    scaled = [_scaled(c, st[c]["min"], st[c]["max"] - st[c]["min"]).alias(c) for c in numerics]
+    rows = df.select("display_id", "ad_id", "ts", label, *scaled, *S.platform_dummies(), *S.country_dummies())
+    return global_position(rows, [F.asc_nulls_last("ts"), F.asc("display_id"), F.asc("ad_id")])
+
+
+# --- sequences --------------------------------------------------------------------------------
+
+
+def to_sequences(df: DataFrame, group: str, order_by: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """One row per group: its length and the array of its rows' feature arrays, in order."""
+    row = F.struct(*order_by, F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
+    rows = F.array_sort(F.collect_list(row))
+    return df.groupBy(group).agg(rows.alias("rows")).select(
+        group, F.size("rows").alias("seq_len"), F.transform("rows", lambda r: r["x"]).alias("x")
+    )
+
+
+def flatten_sequences(df: DataFrame, group: str, features: Sequence[str]) -> DataFrame:
+    """Inverse: one row per step with its 0-based position."""
+    steps = df.select(group, F.posexplode("x").alias("step", "v"))
+    return steps.select(group, "step", *[F.element_at("v", i + 1).alias(c) for i, c in enumerate(features)])
+
+
+def to_categorical(label: str):
+    return F.array(1 - F.col(label), F.col(label))
+
+
+def feature_summary(df: DataFrame, columns: Sequence[str], scale: Mapping[str, float] | None = None) -> DataFrame:
+    """Per feature: rows, non-zero rows, extremes, mean, and a mean weighted by the row's keys.
+
+    Columns are stacked and aggregated map-side, which stays in generated code for hundreds of columns.
+    """
+    scale = scale or {}
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("feature"), (F.col(c).cast("double") / F.lit(float(scale.get(c, 1)))).alias("v")) for c in columns
+    ])
+    w = ((F.col("display_id") + F.col("ad_id")) % 7).alias("w")
+    long = df.select(w, F.explode(cells).alias("c")).select("w", "c.*")
+    return long.groupBy("feature").agg(
+        F.count("v").alias("n"), F.count_if(F.col("v") != 0).alias("nonzero"), F.min("v").alias("low"),
+        F.max("v").alias("high"), F.avg("v").alias("mean"), F.avg(F.col("v") * F.col("w")).alias("mix"),
+    )
