@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from clickloom.operators.ranks import cumulative_before
 from clickloom.session import materialise
 
 CHI2_95 = 3.841459  # 95 % point of chi-square with one degree of freedom
@@ -64,16 +64,11 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], probs: Mapping[str, f
     probs = probs or {"q1": 0.25, "median": 0.5, "q3": 0.75}
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
     counts = df.select(F.explode(pairs).alias("p")).groupBy("p.column", "p.value").agg(F.count("*").alias("n"))
-    order = [F.col("column"), F.col("value").asc_nulls_last()]
-    placed = counts.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = materialise(placed.withColumn("part", F.spark_partition_id()))
-    cum_in_part = F.sum("n").over(W.partitionBy("column", "part").orderBy("value"))
-    known = placed.where("value IS NOT NULL").withColumn("local", cum_in_part)
-    part_sizes = known.groupBy("column", "part").agg(F.sum("n").alias("size"))
-    per_column = W.partitionBy("column")
-    before = F.coalesce(F.sum("size").over(per_column.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = part_sizes.select("column", "part", before.alias("before"), F.sum("size").over(per_column).alias("total"))
-    ranked = known.join(offsets, ["column", "part"]).withColumn("upto", F.col("before") + F.col("local"))
+    counts = materialise(counts)
+    known = counts.where("value IS NOT NULL")
+    totals = known.groupBy("column").agg(F.sum("n").alias("total"))  # one row per column
+    ranked = cumulative_before(known, ["column"], "value", ["n"]).withColumn("upto", F.col("n_before") + F.col("n"))
+    ranked = ranked.join(F.broadcast(totals), "column")
     stats = [
         F.min("value").alias("min"), F.max("value").alias("max"),
         (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
@@ -84,7 +79,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], probs: Mapping[str, f
         high = F.min(F.when(F.col("upto") >= F.ceil(at), F.col("value")))
         share = F.max(at - F.floor(at))
         stats.append((low + (high - low) * share).alias(name))
-    nulls = placed.groupBy("column").agg(
+    nulls = counts.groupBy("column").agg(
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls")
     )
     return ranked.groupBy("column").agg(*stats).join(nulls, "column", "right").select(
@@ -190,3 +185,24 @@ def group_size_histogram(df: DataFrame, group: str) -> DataFrame:
     """Groups and rows by group size."""
     sizes = df.groupBy(group).agg(F.count("*").alias("size"))
     return sizes.groupBy("size").agg(F.count("*").alias("groups"), F.sum("size").alias("rows"))
+
+
+def ranking_auc(df: DataFrame, by: Sequence[str], score: str, label: str) -> DataFrame:
+    """ROC area per group: the chance that a positive outscores a negative, ties counting half."""
+    by = list(by)
+    counts = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(
+        F.sum(label).cast("bigint").alias("pos"), F.sum(1 - F.col(label)).cast("bigint").alias("neg")
+    )
+    placed = cumulative_before(counts, by, score, ["neg"])
+    won = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
+    area = F.try_divide(won, F.sum("pos").cast("double") * F.sum("neg"))
+    return placed.groupBy(*by).agg(area.alias("auc"))
+
+
+def filter_importance(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
+    """ROC area of each feature alone (either direction), scaled so that the best is 100."""
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])
+    long = df.select(label, F.explode(cells).alias("c")).select(label, "c.*")
+    areas = ranking_auc(long, ["feature"], "v", label).select("feature", F.greatest("auc", 1 - F.col("auc")).alias("auc"))
+    areas = materialise(areas)  # one row per feature, used twice
+    return areas.withColumn("importance", F.try_divide(100 * F.col("auc"), areas.agg(F.max("auc")).scalar()))

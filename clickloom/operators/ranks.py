@@ -114,3 +114,23 @@ def group_totals(df: DataFrame, by: Sequence[str], totals: dict[str, Column]) ->
     right = df.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(*[e.alias(n) for n, e in totals.items()])
     same = reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by])
     return df.join(right, same).drop(*[f"_g_{c}" for c in by])
+
+
+def cumulative_before(df: DataFrame, by: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
+    """Sums over the rows with a smaller value in the same group, as ``<sum>_before``.
+
+    Rows must be distinct in (by, value). They are range-partitioned, so a group may span any number
+    of tasks; per-partition subtotals link the pieces.
+    """
+    by = list(by)
+    order = [*[F.col(c) for c in by], F.col(value)]
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialise(placed.withColumn("_part", F.spark_partition_id()))
+    inner = W.partitionBy(*by, "_part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    pieces = placed.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    across = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0)
+    offsets = pieces.select(*by, "_part", *[F.coalesce(F.sum(f"_{c}").over(across), zero).alias(f"_o_{c}") for c in sums])
+    local = placed.withColumns({f"_l_{c}": F.coalesce(F.sum(c).over(inner), zero) for c in sums})
+    joined = local.join(offsets, [*by, "_part"])
+    return joined.select(*df.columns, *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"{c}_before") for c in sums])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 SQL_SETTINGS = {
@@ -24,6 +26,8 @@ def prepare_session(spark: SparkSession) -> SparkSession:
     for key, value in SQL_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    # Functions of this package travel to the executors by value, so they need no installation there.
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])
     return spark
 
 
