@@ -148,8 +148,7 @@ def valid_rows(v):
 
 @query("ev_baseline_grid", ranges_sql(B.DEFAULT_DAY_RANGES, "grid_positions", "k, reg"), **GRID)
 def _(v):
-    grid = B.baseline_grid(v.impressions_train, valid_rows(v), _KS, _RS)
-    return rounded(K.map_by_ranges(grid, B.DEFAULT_DAY_RANGES, by=["k", "reg"]), "map12")
+    return rounded(B.baseline_grid_map(v.impressions_train, valid_rows(v), _KS, _RS), "map12")
 
 
 @query("ev_ranked_list", "SELECT display_id, string_agg(CAST(ad_id AS VARCHAR), ' ' ORDER BY prob DESC, ad_id) AS ad_id FROM scores GROUP BY 1")

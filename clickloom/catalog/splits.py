@@ -10,7 +10,7 @@ RANKED = "SELECT display_id, row_number() OVER (ORDER BY md5('1:' || CAST(displa
 
 @query("spl_random_blocks", "SELECT i.display_id, ad_id, CAST(floor((rn - 1) * 16.0 / n) + 1 AS INTEGER) AS block FROM impressions i JOIN ranked USING (display_id)", ranked=RANKED)
 def _(v):
-    return P.random_blocks(v.impressions.select("display_id", "ad_id"), "display_id", 16)
+    return P.random_blocks(v.impressions.select("display_id", "ad_id"), "display_id", 16, ids=v.display_ids)
 
 
 @query(
@@ -25,12 +25,12 @@ def _(v):
 
 @query("spl_sample_groups", "SELECT i.display_id, ad_id FROM impressions i JOIN ranked USING (display_id) WHERE rn <= floor(0.1 * n)", ranked=RANKED)
 def _(v):
-    return P.sample_groups(v.impressions.select("display_id", "ad_id"), "display_id", 0.1)
+    return P.sample_groups(v.impressions.select("display_id", "ad_id"), "display_id", 0.1, ids=v.display_ids)
 
 
 @query("spl_train_valid", "SELECT i.display_id, ad_id, CASE WHEN rn <= floor(0.8 * n) THEN 'train' ELSE 'valid' END AS part FROM impressions i JOIN ranked USING (display_id)", ranked=RANKED)
 def _(v):
-    return P.train_valid(v.impressions.select("display_id", "ad_id"), "display_id", 0.8)
+    return P.train_valid(v.impressions.select("display_id", "ad_id"), "display_id", 0.8, ids=v.display_ids)
 
 
 @query(
@@ -69,4 +69,4 @@ def _(v):
 
 @query("spl_tail_validation", "SELECT i.display_id, ad_id, CASE WHEN rn <= floor((1 - 0.15) * n) THEN 'train' ELSE 'valid' END AS part FROM impressions i JOIN ranked USING (display_id)", ranked=RANKED)
 def _(v):
-    return P.tail_validation(v.impressions.select("display_id", "ad_id"), "display_id", 0.15)
+    return P.tail_validation(v.impressions.select("display_id", "ad_id"), "display_id", 0.15, ids=v.display_ids)

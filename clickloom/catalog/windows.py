@@ -9,7 +9,7 @@ from clickloom.catalog.aggregates import FEATURE_RANKS, feature_ranks, type_sql
 from clickloom.catalog.registry import query
 from clickloom.operators import doctypes as D
 from clickloom.operators import ranks as R
-from clickloom.operators.aggregates import rank_statistics
+from clickloom.operators.aggregates import rank_statistics, smoothed_rate
 from clickloom.operators.profiles import gap_to_previous
 from clickloom.operators.splits import sample_groups
 
@@ -52,8 +52,8 @@ _AD = ("ad_document_id", "ad_campaign_id", "ad_advertiser_id", "ad_source_id", "
 def _(v):
     from clickloom.plans.features import leader_columns
 
-    rates = v.scores.select("display_id", "ad_id", "prob")
-    rows = v.wide.select("display_id", "ad_id", *_AD).join(rates, ["display_id", "ad_id"])
+    rates = smoothed_rate(v.impressions, "ad_id", "clicked", reg=4).select("ad_id", "prob")
+    rows = v.wide.select("display_id", "ad_id", *_AD).join(rates, "ad_id")
     return leader_columns(rows, "display_id", "prob", "ad_id", _AD).select("display_id", "ad_id", *[f"clk1_{c}" for c in _AD])
 
 
@@ -75,7 +75,7 @@ def _(v):
 @query("win_rank_in_display", "SELECT display_id, ad_id, row_number() OVER (PARTITION BY display_id ORDER BY prob DESC, ad_id) AS position FROM scores")
 def _(v):
     scores = v.scores.select("display_id", "ad_id", "prob")
-    return R.rank_in_group(scores, ["display_id"], [F.desc("prob"), F.asc("ad_id")]).drop("prob")
+    return R.rank_in_group(scores, ["display_id"], [F.desc("prob"), F.asc("ad_id")], sizes_from=v.display_ids).drop("prob")
 
 
 @query(
@@ -86,8 +86,9 @@ def _(v):
     relevant_scores=RELEVANT,
 )
 def _(v):
-    placed = R.rank_in_group(relevant_scores(v), ["display_id"], [F.desc("prob"), F.asc("ad_id")])
-    hits = R.rank_in_group(placed.where("relevant = 1"), ["display_id"], [F.asc("position")], "hits")
+    sizes = v.display_ids
+    placed = R.rank_in_group(relevant_scores(v), ["display_id"], [F.desc("prob"), F.asc("ad_id")], sizes_from=sizes)
+    hits = R.rank_in_group(placed.where("relevant = 1"), ["display_id"], [F.asc("position")], "hits", sizes_from=sizes)
     return hits.select("display_id", "ad_id", "position", "hits", F.round(F.col("hits") / F.col("position"), 8).alias("precision"))
 
 

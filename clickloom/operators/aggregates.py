@@ -62,7 +62,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], probs: Mapping[str, f
     cumulative counts, so no task ever holds a column.
     """
     probs = probs or {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    pairs = F.array(*[F.struct(F.lit(i).alias("column"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)])
     counts = df.select(F.explode(pairs).alias("p")).groupBy("p.column", "p.value").agg(F.count("*").alias("n"))
     counts = materialise(counts)
     known = counts.where("value IS NOT NULL")
@@ -82,8 +82,9 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], probs: Mapping[str, f
     nulls = counts.groupBy("column").agg(
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls")
     )
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("column") + 1)
     return ranked.groupBy("column").agg(*stats).join(nulls, "column", "right").select(
-        "column", "min", *probs, "mean", "max", "nulls"
+        name.alias("column"), "min", *probs, "mean", "max", "nulls"
     )
 
 

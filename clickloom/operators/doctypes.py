@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clickloom.operators.joins import keep_known
+from clickloom.session import materialise
 
 
 def document_click_rates(wide: DataFrame, label: str = "clicked") -> DataFrame:
@@ -85,7 +86,8 @@ def types_per_document(types: DataFrame, wide: DataFrame) -> DataFrame:
 
 def document_features(types: DataFrame, rates: DataFrame, name: str, plural: str, k: int) -> DataFrame:
     """One row per document: weighted scores and top-k type rates, page columns and ``ad_`` columns."""
-    rated = rated_types(with_document_rates(types, rates))
+    # Each of the two tables feeds two plans, so both are written once instead of being computed twice.
+    rated = materialise(rated_types(materialise(with_document_rates(types, rates))))
     scores = document_scores(rated).withColumnsRenamed(
         {"types_prob": f"{plural}_prob", "ad_types_prob": f"ad_{plural}_prob"}
     )

@@ -89,7 +89,8 @@ def time_bucket_coverage(
     """
     width = F.explode(F.array(*[F.lit(w) for w in widths])).alias("width")
     bucket = F.expr(f"`{ts}` - pmod(`{ts}`, width * {unit_ms}L)")
-    seen = views.select(*keys, ts).distinct().select(*keys, ts, width)
+    # Both sides are first reduced to keys the other side has.
+    seen = keep_pairs(views, events, keys).select(*keys, ts).distinct().select(*keys, ts, width)
     seen = seen.select(*keys, "width", bucket.alias("bucket")).distinct()
     possible = keep_pairs(events, views, keys).select(group, *keys, ts, width)
     hit = possible.select(group, *keys, "width", bucket.alias("bucket")).join(

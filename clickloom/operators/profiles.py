@@ -27,12 +27,32 @@ VIEW_CLOCK = ("hour_min", "day_min", "hour_max", "day_max", "hour_avg", "day_avg
 VIEW_STATS = ("tot", *TIME_STATS, *GAP_STATS, *VIEW_COUNTERS, *VIEW_CLOCK)
 
 
+STACK = ("key_num", "key_str", "key_id")
+
+
 def stack_keys(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Long form (key_name, key_value, values): one shuffle serves every key column."""
-    pairs = F.array(
-        *[F.struct(F.lit(k).alias("key_name"), F.col(k).cast("string").alias("key_value")) for k in keys]
-    )
-    return df.select(*values, F.explode(pairs).alias("_p")).select("_p.key_name", "_p.key_value", *values)
+    """Long form with one row per key column: one shuffle serves every key.
+
+    A key is (key_num, key_str, key_id): integer keys stay integers, which hash and sort much faster
+    than text; ``key_id`` is the place in ``keys``.
+    """
+    text = {name for name, kind in df.dtypes if kind == "string"}
+
+    def cell(i: int, k: str) -> Column:
+        num = F.lit(None) if k in text else F.col(k)
+        label = F.col(k) if k in text else F.lit(None)
+        return F.struct(num.cast("bigint").alias("key_num"), label.cast("string").alias("key_str"), F.lit(i).alias("key_id"))
+
+    pairs = F.array(*[cell(i, k) for i, k in enumerate(keys)])
+    return df.select(*values, F.explode(pairs).alias("_p")).select("_p.*", *values)
+
+
+def name_keys(stacked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``STACK`` columns turned into (key_name, key_value)."""
+    name = F.element_at(F.array(*[F.lit(k) for k in keys]), F.col("key_id") + 1)
+    value = F.coalesce(F.col("key_num").cast("string"), F.col("key_str"))
+    rest = [c for c in stacked.columns if c not in STACK]
+    return stacked.select(name.alias("key_name"), value.alias("key_value"), *rest)
 
 
 def bucket_states(
@@ -109,7 +129,7 @@ def click_profile(df: DataFrame, by: Sequence[str], ts: str = "ts", label: str =
 
 def click_profiles(df: DataFrame, keys: Sequence[str], ts: str = "ts", label: str = "clicked") -> DataFrame:
     """``click_profile`` of every key column in long form."""
-    return click_profile(stack_keys(df, keys, [ts, label]), ["key_name", "key_value"], ts, label)
+    return name_keys(click_profile(stack_keys(df, keys, [ts, label]), STACK, ts, label), keys)
 
 
 def _view_counters() -> dict[str, Column]:
@@ -132,7 +152,8 @@ def view_profile(views: DataFrame, by: Sequence[str], ts: str = "ts") -> DataFra
 def view_profiles(views: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
     """``view_profile`` of every key column in long form; the null key is left out."""
     values = [ts, "country_id", "platform", "traffic_source"]
-    return view_profile(stack_keys(views, keys, values).where("key_value IS NOT NULL"), ["key_name", "key_value"], ts)
+    stacked = stack_keys(views, keys, values).where("key_num IS NOT NULL OR key_str IS NOT NULL")
+    return name_keys(view_profile(stacked, STACK, ts), keys)
 
 
 def with_document_keys(views: DataFrame, meta: DataFrame) -> DataFrame:

@@ -49,15 +49,18 @@ def rank_in_group(
     order_by: Sequence[Column],
     name: str = "position",
     hot_rows: int = HOT_GROUP_ROWS,
+    sizes_from: DataFrame | None = None,
 ) -> DataFrame:
     """1-based position inside each group (``order_by`` must end in a unique id).
 
-    The group sizes are looked at first (a column-pruned, map-side combined count). Groups above
+    The group sizes are looked at first (a column-pruned, map-side combined count over ``sizes_from``,
+    a cheaper table with at least as many rows per group, or over the rows themselves). Groups above
     ``hot_rows`` are numbered by range partitions instead of by one window task; there are at most
     rows / hot_rows of them, which bounds the broadcast.
     """
     by = list(by)
-    hot = df.groupBy(*by).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows).select(*by)
+    counted = df if sizes_from is None else sizes_from
+    hot = counted.groupBy(*by).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows).select(*by)
     window = F.row_number().over(W.partitionBy(*by).orderBy(*order_by)).cast("bigint")
     if hot.isEmpty():
         return df.withColumn(name, window)
@@ -75,23 +78,31 @@ def rank_in_group(
 
 
 def rows_ahead(
-    df: DataFrame, marked: Column, group: Sequence[str], item: str, score: str, keep: Sequence[str] = ()
+    df: DataFrame, marked: Column, group: Sequence[str], item: str, scores: Sequence[str], keep: Sequence[str] = ()
 ) -> DataFrame:
     """Position of each marked row in its group by (score desc, item asc), without ranking the rest.
 
     The marked rows (a few per group) meet their group in an equi-join and the rows ahead are
-    counted, so a hot group is split by the skew join and combined map-side.
+    counted, so a hot group is split by the skew join and combined map-side. Several score columns
+    share the join and give ``position_<score>`` each, a single one gives ``position``.
     """
-    group = list(group)
+    group, scores = list(group), list(scores)
     target = df.where(marked).select(
-        *group, F.col(item).alias("_item"), F.col(score).alias("_score"), *[F.col(c).alias(f"_k_{c}") for c in keep]
+        *group, F.col(item).alias("_item"), *[F.col(s).alias(f"_s_{s}") for s in scores], *[F.col(c).alias(f"_k_{c}") for c in keep]
     )
-    ahead = (F.col(score) > F.col("_score")) | ((F.col(score) == F.col("_score")) & (F.col(item) <= F.col("_item")))
+
+    def ahead(s: str) -> Column:
+        own = F.col(f"_s_{s}")
+        return (F.col(s) > own) | ((F.col(s) == own) & (F.col(item) <= F.col("_item")))
+
     return (
-        df.select(*group, item, score)
+        df.select(*group, item, *scores)
         .join(target, group)
         .groupBy(*group, F.col("_item").alias(item), *[F.col(f"_k_{c}").alias(c) for c in keep])
-        .agg(F.count_if(ahead).alias("position"), F.count("*").alias("group_size"))
+        .agg(
+            *[F.count_if(ahead(s)).alias("position" if len(scores) == 1 else f"position_{s}") for s in scores],
+            F.count("*").alias("group_size"),
+        )
     )
 
 

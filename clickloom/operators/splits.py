@@ -69,21 +69,26 @@ def _in_prefix(group: str, seed: int, cut: tuple[int, str | None, object]) -> Co
     return (key < h) | ((key == h) & (F.col(group) <= F.lit(i)))
 
 
-def sample_groups(df: DataFrame, group: str, fraction: float, seed: int = 1) -> DataFrame:
-    """All rows of exactly trunc(fraction * n) groups."""
-    _, (cut,) = hash_cuts(df, group, seed, lambda n: [math.trunc(fraction * n)])
+def sample_groups(df: DataFrame, group: str, fraction: float, seed: int = 1, ids: DataFrame | None = None) -> DataFrame:
+    """All rows of exactly trunc(fraction * n) groups.
+
+    ``ids``, here and below, is a cheaper table with the same groups to take the cuts from.
+    """
+    _, (cut,) = hash_cuts(df if ids is None else ids, group, seed, lambda n: [math.trunc(fraction * n)])
     return df.where(_in_prefix(group, seed, cut))
 
 
-def train_valid(df: DataFrame, group: str, fraction: float = 0.8, seed: int = 1) -> DataFrame:
+def train_valid(df: DataFrame, group: str, fraction: float = 0.8, seed: int = 1, ids: DataFrame | None = None) -> DataFrame:
     """Adds ``part``: train for trunc(fraction * n) groups, valid for the rest."""
-    _, (cut,) = hash_cuts(df, group, seed, lambda n: [math.trunc(fraction * n)])
+    _, (cut,) = hash_cuts(df if ids is None else ids, group, seed, lambda n: [math.trunc(fraction * n)])
     return df.withColumn("part", F.when(_in_prefix(group, seed, cut), "train").otherwise("valid"))
 
 
-def random_blocks(df: DataFrame, group: str, blocks: int, seed: int = 1, name: str = "block") -> DataFrame:
+def random_blocks(
+    df: DataFrame, group: str, blocks: int, seed: int = 1, name: str = "block", ids: DataFrame | None = None
+) -> DataFrame:
     """Adds a block number 1..blocks; groups are dealt out in hash order into equal blocks."""
-    _, cuts = hash_cuts(df, group, seed, lambda n: [math.ceil(b * n / blocks) for b in range(1, blocks)])
+    _, cuts = hash_cuts(df if ids is None else ids, group, seed, lambda n: [math.ceil(b * n / blocks) for b in range(1, blocks)])
     beyond = [(~_in_prefix(group, seed, c)).cast("int") for c in cuts]
     number = F.lit(1)
     for b in beyond:
@@ -91,12 +96,12 @@ def random_blocks(df: DataFrame, group: str, blocks: int, seed: int = 1, name: s
     return df.withColumn(name, number)
 
 
-def tail_validation(df: DataFrame, group: str, fraction: float, seed: int = 1) -> DataFrame:
+def tail_validation(df: DataFrame, group: str, fraction: float, seed: int = 1, ids: DataFrame | None = None) -> DataFrame:
     """Adds ``part``: the last ``fraction`` of the groups in hash order is valid.
 
     A group is valid iff its rank exceeds (1 - fraction) * n.
     """
-    _, (cut,) = hash_cuts(df, group, seed, lambda n: [math.floor((1 - fraction) * n)])
+    _, (cut,) = hash_cuts(df if ids is None else ids, group, seed, lambda n: [math.floor((1 - fraction) * n)])
     return df.withColumn("part", F.when(_in_prefix(group, seed, cut), "train").otherwise("valid"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clickloom.operators.aggregates import overall_rate, smoothed_rate
 from clickloom.operators.joins import keep_known, keep_unknown, with_default_rate
+from clickloom.plans.ranking import map_by_ranges
 
 DEFAULT_DAY_RANGES = ((1, 11), (12, 13), (1, 13))
 TRAINING_DAY_RANGES = ((1, 3), (3, 5), (5, 7), (7, 9), (9, 11), (11, 13), *DEFAULT_DAY_RANGES)
@@ -24,10 +25,14 @@ def baseline_scores(train: DataFrame, valid: DataFrame, k: int = 2, reg: float =
     return with_default_rate(valid, rates, "ad_id", "prob", default_rate(train, valid, k, reg, label).scalar())
 
 
+def grid_column(k: int, reg: int) -> str:
+    return f"k{k}_reg{reg}"
+
+
 def baseline_grid(train: DataFrame, valid: DataFrame, ks=(1, 2, 3), regs=(0, 3, 4, 5, 6), label: str = "clicked") -> DataFrame:
-    """Long scores (k, reg, row columns, prob) for every parameter pair from one join.
+    """``valid`` with one score column ``k<k>_reg<reg>`` per parameter pair, from one join.
 
-    The train sums per ad are computed once; the grid only multiplies the joined rows.
+    The train sums per ad are computed once; the grid adds columns, not rows.
     """
     in_valid = valid.select("ad_id").distinct().withColumn("_in", F.lit(1))
     ads = train.groupBy("ad_id").agg(F.sum(label).alias("c"), F.count("*").alias("n"))
@@ -37,13 +42,19 @@ def baseline_grid(train: DataFrame, valid: DataFrame, ks=(1, 2, 3), regs=(0, 3,
         F.sum(F.when(F.col("_in").isNull(), F.col("c"))).alias("c2"), F.sum(F.when(F.col("_in").isNull(), F.col("n"))).alias("n2"),
         F.sum("c").alias("c3"), F.sum("n").alias("n3"),
     ).first()  # six numbers
-    grid = []
+    columns = []
     for k in ks:
         c, n = sums[f"c{k}"], sums[f"n{k}"]
         for reg in regs:
             default = None if c is None or n + reg == 0 else c / (n + reg)
             rate = F.try_divide(F.col("c").cast("double"), F.col("n") + F.lit(float(reg)))
-            prob = F.coalesce(rate, F.lit(default).cast("double"))
-            grid.append(F.struct(F.lit(k).alias("k"), F.lit(reg).alias("reg"), prob.alias("prob")))
-    joined = valid.join(ads, "ad_id", "left").withColumn("_g", F.explode(F.array(*grid)))
-    return joined.select("_g.k", "_g.reg", *valid.columns, "_g.prob")
+            columns.append(F.coalesce(rate, F.lit(default).cast("double")).alias(grid_column(k, reg)))
+    return valid.join(ads, "ad_id", "left").select(*valid.columns, *columns)
+
+
+def baseline_grid_map(train: DataFrame, valid: DataFrame, ks=(1, 2, 3), regs=(0, 3, 4, 5, 6), ranges=DEFAULT_DAY_RANGES) -> DataFrame:
+    """(k, reg, day_from, day_to, map12) of the whole grid."""
+    grid = baseline_grid(train, valid, ks, regs)
+    out = map_by_ranges(grid, ranges, scores=[grid_column(k, r) for k in ks for r in regs])
+    number = [F.regexp_extract("score", f"{p}([0-9]+)", 1).cast("int").alias(n) for p, n in (("^k", "k"), ("_reg", "reg"))]
+    return out.select(*number, "day_from", "day_to", "map12")

@@ -13,10 +13,11 @@ GROUP, ITEM, LABEL, SCORE = "display_id", "ad_id", "clicked", "prob"
 
 
 def click_positions(
-    df: DataFrame, group: Sequence[str] = (GROUP,), item: str = ITEM, label: str = LABEL, score: str = SCORE, keep=()
+    df: DataFrame, group: Sequence[str] = (GROUP,), item: str = ITEM, label: str = LABEL,
+    score: str | Sequence[str] = SCORE, keep=(),
 ) -> DataFrame:
     """Position of every clicked item in its own group, and the group size."""
-    return rows_ahead(df, F.col(label) == 1, group, item, score, keep)
+    return rows_ahead(df, F.col(label) == 1, group, item, [score] if isinstance(score, str) else score, keep)
 
 
 def mean_or_zero(value: Column) -> Column:
@@ -67,20 +68,25 @@ def average_precision_with_repeats(
 
 
 def map_by_ranges(
-    df: DataFrame, ranges: Sequence[tuple[int, int]], day: str = "day", by: Sequence[str] = (), group: str = GROUP, **names
+    df: DataFrame, ranges: Sequence[tuple[int, int]], day: str = "day", scores: Sequence[str] = (SCORE,), **names
 ) -> DataFrame:
-    """Mean 1 / position for overlapping day ranges, 0 for an empty range; one pass over the positions."""
-    by = list(by)
-    positions = click_positions(df, group=[*by, group], keep=[day], **names)
+    """(day_from, day_to, map12) for overlapping day ranges, 0 for an empty range.
+
+    With several score columns there is one row per score and range, all from one pass over the positions.
+    """
+    scores = list(scores)
+    positions = click_positions(df, keep=[day], score=scores, **names)
+    one = len(scores) == 1
     cells = [
         F.struct(
+            *([] if one else [F.lit(s).alias("score")]),
             F.lit(lo).alias("day_from"), F.lit(hi).alias("day_to"),
-            mean_or_zero(F.when(F.col(day).between(lo, hi), 1 / F.col("position"))).alias("map12"),
+            mean_or_zero(F.when(F.col(day).between(lo, hi), 1 / F.col("position" if one else f"position_{s}"))).alias("map12"),
         )
+        for s in scores
         for lo, hi in ranges
     ]
-    one = positions.groupBy(*by).agg(F.array(*cells).alias("cells"))
-    return one.select(*by, F.explode("cells").alias("c")).select(*by, "c.*")
+    return positions.agg(F.array(*cells).alias("cells")).select(F.explode("cells").alias("c")).select("c.*")
 
 
 def improvement_by_size(df: DataFrame, **names) -> DataFrame:

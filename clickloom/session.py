@@ -73,6 +73,10 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: write the rows as a Parquet table under the shared folder and read it back.
+
+    Survives the loss of executors, keeps column pruning, and later plans know the table's size.
+    """
+    path = fresh_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

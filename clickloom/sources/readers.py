@@ -33,8 +33,12 @@ def csv_without_malformed(spark: SparkSession, path: str, schema: str, header: b
 
 def malformed_rows(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
     """The raw lines that ``csv_without_malformed`` leaves out."""
-    read = spark.read.schema(f"{schema}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record")
-    return read.csv(path, header=header).where("_corrupt_record IS NOT NULL").select("_corrupt_record")
+    lines = spark.read.text(path)
+    if header:
+        lines = lines.where(F.col("value") != lines.first()["value"])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = lines.select(F.from_csv("value", f"{schema}, _corrupt_record string", options).alias("r"))
+    return parsed.where("r._corrupt_record IS NOT NULL").select("r._corrupt_record")
 
 
 def schema_from_header(header: str, integers: Sequence[str], strings: Sequence[str]) -> T.StructType:

@@ -35,8 +35,8 @@ class Views:
         items = lines.groupBy(
             F.col("l_orderkey").alias("display_id"), F.col("l_partkey").alias("ad_id")
         ).agg(F.max("l_extendedprice").alias("price"))
-        winner = items.groupBy("display_id").agg(
-            F.max(F.struct("price", (-F.col("ad_id")).alias("neg_ad"))).alias("top")
+        winner = lines.groupBy(F.col("l_orderkey").alias("display_id")).agg(
+            F.max(F.struct(F.col("l_extendedprice").alias("price"), (-F.col("l_partkey")).alias("neg_ad"))).alias("top")
         )
         return items.join(winner, "display_id").select(
             "display_id",
@@ -45,10 +45,15 @@ class Views:
             F.when(F.col("ad_id") == -F.col("top.neg_ad"), 1).otherwise(0).alias("clicked"),
         )
 
+    @cached_property
+    def display_ids(self) -> DataFrame:
+        """The displays of ``impressions``, repeated; needs no join."""
+        return self.table("lineitem").select(F.col("l_orderkey").alias("display_id"))
+
     @cached_property
     def split_impressions(self) -> DataFrame:
         """``impressions`` with ``part`` = train or valid, by display (80 / 20)."""
-        return train_valid(self.impressions, "display_id", 0.8, seed=SPLIT_SEED)
+        return train_valid(self.impressions, "display_id", 0.8, seed=SPLIT_SEED, ids=self.display_ids)
 
     @cached_property
     def impressions_train(self) -> DataFrame:
