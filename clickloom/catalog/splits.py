@@ -47,7 +47,7 @@ def _(v):
 
 @query("spl_row_cap", "SELECT i.display_id, ad_id FROM impressions i JOIN ranked USING (display_id) WHERE rn <= trunc(20000.0 / (SELECT count(*) FROM impressions) * n)", ranked=RANKED)
 def _(v):
-    return P.row_capped(v.impressions.select("display_id", "ad_id"), "display_id", 20000)
+    return P.row_capped(v.impressions.select("display_id", "ad_id"), "display_id", 20000, ids=v.display_ids)
 
 
 @query(
@@ -57,7 +57,7 @@ def _(v):
     ranked=RANKED,
 )
 def _(v):
-    blocks = P.random_blocks(v.impressions.select("display_id"), "display_id", 16)
+    blocks = P.random_blocks(v.impressions.select("display_id"), "display_id", 16, ids=v.display_ids)
     sizes = blocks.groupBy("block").agg(F.count("*").alias("rows"))
     return P.accumulate_to_cap(sizes, "block", "rows", 30000)
 

@@ -121,12 +121,14 @@ def _level_counts(df: DataFrame, level: str, label: str) -> DataFrame:
 
 
 def woe_iv(df: DataFrame, level: str, label: str, smoothing: float = 0.0) -> DataFrame:
-    """Weight of evidence and information value per level; null for an empty cell without smoothing."""
-    counts = _level_counts(df, level, label)
-    whole = df.agg(F.sum(label).alias("g"), F.sum(1 - F.col(label)).alias("b"), )
-    levels = counts.agg(F.count("*").alias("k"))
-    good = (F.col("good") + smoothing) / (whole.select("g").scalar() + smoothing * levels.scalar())
-    bad = (F.col("bad") + smoothing) / (whole.select("b").scalar() + smoothing * levels.scalar())
+    """Weight of evidence and information value per level; null for an empty cell without smoothing.
+
+    The level counts are written once; the totals come from them, not from another scan.
+    """
+    counts = materialise(_level_counts(df, level, label))
+    levels = smoothing * counts.agg(F.count("*")).scalar()
+    good = (F.col("good") + smoothing) / (counts.agg(F.sum("good")).scalar() + levels)
+    bad = (F.col("bad") + smoothing) / (counts.agg(F.sum("bad")).scalar() + levels)
     woe = F.when((F.col("good_share") > 0) & (F.col("bad_share") > 0), F.ln(F.col("good_share") / F.col("bad_share")))
     return (
         counts.withColumns({"good_share": good, "bad_share": bad})
@@ -137,9 +139,9 @@ def woe_iv(df: DataFrame, level: str, label: str, smoothing: float = 0.0) -> Dat
 
 def chi2_levels(df: DataFrame, level: str, label: str) -> DataFrame:
     """Per level, the continuity-corrected 2 x 2 chi-square of (label, is the level) and the click rate."""
-    counts = _level_counts(df, level, label)
-    good_all = df.agg(F.sum(label)).scalar().cast("double")
-    bad_all = df.agg(F.sum(1 - F.col(label))).scalar().cast("double")
+    counts = materialise(_level_counts(df, level, label))
+    good_all = counts.agg(F.sum("good")).scalar().cast("double")
+    bad_all = counts.agg(F.sum("bad")).scalar().cast("double")
     c = counts.withColumns({"g": good_all, "b": bad_all})
     n, size = F.col("g") + F.col("b"), F.col("good") + F.col("bad")
     cells = {

@@ -116,7 +116,7 @@ def merge_states(states: DataFrame, by: Sequence[str], counters: Sequence[str])
 
 
 def time_profile(
-    df: DataFrame, by: Sequence[str], ts: str, counters: Mapping[str, Column], bucket_ms: int = S.DAY_MS
+    df: DataFrame, by: Sequence[str], ts: str, counters: Mapping[str, Column], bucket_ms: int = S.HOUR_MS
 ) -> DataFrame:
     return merge_states(bucket_states(df, by, ts, counters, bucket_ms), by, list(counters))
 
@@ -164,7 +164,7 @@ def with_document_keys(views: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def gap_to_previous(
-    df: DataFrame, by: Sequence[str], ts: str, row_id: str, bucket_ms: int = S.DAY_MS, name: str = "gap"
+    df: DataFrame, by: Sequence[str], ts: str, row_id: str, bucket_ms: int = S.HOUR_MS, name: str = "gap"
 ) -> DataFrame:
     """Time since the previous row of the key in (ts, id) order; null for the first row.
 

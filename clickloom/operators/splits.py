@@ -61,12 +61,20 @@ def hash_cuts(df: DataFrame, group: str, seed: int, ranks) -> tuple[int, list[tu
     return total, cuts
 
 
-def _in_prefix(group: str, seed: int, cut: tuple[int, str | None, object]) -> Column:
+_H = "_hash"
+
+
+def _with_hash(df: DataFrame, group: str, seed: int) -> DataFrame:
+    """The hash as a column, so that it is computed once however many cuts look at it."""
+    return df.withColumn(_H, hash_key(group, seed))
+
+
+def _up_to(group: str, cut: tuple[int, str | None, object]) -> Column:
+    """Whether a row of ``_with_hash`` lies at or before the cut."""
     _, h, i = cut
     if h is None:
         return F.lit(False)
-    key = hash_key(group, seed)
-    return (key < h) | ((key == h) & (F.col(group) <= F.lit(i)))
+    return (F.col(_H) < h) | ((F.col(_H) == h) & (F.col(group) <= F.lit(i)))
 
 
 def sample_groups(df: DataFrame, group: str, fraction: float, seed: int = 1, ids: DataFrame | None = None) -> DataFrame:
@@ -75,13 +83,14 @@ def sample_groups(df: DataFrame, group: str, fraction: float, seed: int = 1, ids
     ``ids``, here and below, is a cheaper table with the same groups to take the cuts from.
     """
     _, (cut,) = hash_cuts(df if ids is None else ids, group, seed, lambda n: [math.trunc(fraction * n)])
-    return df.where(_in_prefix(group, seed, cut))
+    return _with_hash(df, group, seed).where(_up_to(group, cut)).drop(_H)
 
 
 def train_valid(df: DataFrame, group: str, fraction: float = 0.8, seed: int = 1, ids: DataFrame | None = None) -> DataFrame:
     """Adds ``part``: train for trunc(fraction * n) groups, valid for the rest."""
     _, (cut,) = hash_cuts(df if ids is None else ids, group, seed, lambda n: [math.trunc(fraction * n)])
-    return df.withColumn("part", F.when(_in_prefix(group, seed, cut), "train").otherwise("valid"))
+    part = F.when(_up_to(group, cut), "train").otherwise("valid")
+    return _with_hash(df, group, seed).withColumn("part", part).drop(_H)
 
 
 def random_blocks(
@@ -89,11 +98,10 @@ def random_blocks(
 ) -> DataFrame:
     """Adds a block number 1..blocks; groups are dealt out in hash order into equal blocks."""
     _, cuts = hash_cuts(df if ids is None else ids, group, seed, lambda n: [math.ceil(b * n / blocks) for b in range(1, blocks)])
-    beyond = [(~_in_prefix(group, seed, c)).cast("int") for c in cuts]
     number = F.lit(1)
-    for b in beyond:
-        number = number + b
-    return df.withColumn(name, number)
+    for cut in cuts:
+        number = number + (~_up_to(group, cut)).cast("int")
+    return _with_hash(df, group, seed).withColumn(name, number).drop(_H)
 
 
 def tail_validation(df: DataFrame, group: str, fraction: float, seed: int = 1, ids: DataFrame | None = None) -> DataFrame:
@@ -102,7 +110,8 @@ def tail_validation(df: DataFrame, group: str, fraction: float, seed: int = 1, i
     A group is valid iff its rank exceeds (1 - fraction) * n.
     """
     _, (cut,) = hash_cuts(df if ids is None else ids, group, seed, lambda n: [math.floor((1 - fraction) * n)])
-    return df.withColumn("part", F.when(_in_prefix(group, seed, cut), "train").otherwise("valid"))
+    part = F.when(_up_to(group, cut), "train").otherwise("valid")
+    return _with_hash(df, group, seed).withColumn("part", part).drop(_H)
 
 
 def ordered_cuts(df: DataFrame, group: str, ranks) -> list[int]:
@@ -222,14 +231,15 @@ def day_balanced(
     n_late = days.where("_late = 1").count()
     early = days.where("_early = 1")
     _, (cut,) = hash_cuts(early, group, seed, lambda n: [min(n, n_late)])
-    kept = days.where((F.col("_late") == 1) | ((F.col("_early") == 1) & _in_prefix(group, seed, cut)))
-    return train_valid(df.join(kept.select(group), group, "left_semi"), group, fraction, seed)
+    kept = _with_hash(days, group, seed).where((F.col("_late") == 1) | ((F.col("_early") == 1) & _up_to(group, cut)))
+    kept = kept.select(group)
+    return train_valid(df.join(kept, group, "left_semi"), group, fraction, seed, ids=kept)
 
 
-def row_capped(df: DataFrame, group: str, cap: int, seed: int = 1) -> DataFrame:
+def row_capped(df: DataFrame, group: str, cap: int, seed: int = 1, ids: DataFrame | None = None) -> DataFrame:
     """Groups sampled so that about ``cap`` rows remain; the table itself when it is smaller."""
     rows = df.count()
-    return df if rows <= cap else sample_groups(df, group, cap / rows, seed)
+    return df if rows <= cap else sample_groups(df, group, cap / rows, seed, ids)
 
 
 def accumulate_to_cap(batch_sizes: DataFrame, batch: str, rows: str, cap: int) -> DataFrame:

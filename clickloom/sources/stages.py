@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.utils import AnalysisException
 
 from clickloom.session import fresh_dir
+from clickloom.sources.writers import partitioned
 
 
 class StageStore:
@@ -41,6 +42,8 @@ class StageStore:
         found = self.read(name, columns)
         if found is not None:
             return found
-        writer = compute().write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.path(name))
+        if partition_by:
+            partitioned(compute(), self.path(name), partition_by)
+        else:
+            compute().write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.parquet(self.path(name))

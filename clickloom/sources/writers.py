@@ -35,11 +35,10 @@ def libsvm_lines(df: DataFrame, label: str, columns: Sequence[str]) -> DataFrame
 def partitioned(df: DataFrame, path: str, by: Sequence[str]) -> None:
     """One directory per value of ``by``.
 
-    Rows are first brought together by those columns plus a spread key, so each directory gets a few
-    large files and a hot value is still written by several tasks.
+    Rows are rebalanced by those columns: adaptive execution splits a hot value over many tasks and
+    joins small ones, so files come out near the advisory size.
     """
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c not in by][:2]), F.lit(8))
-    df.repartition(*by, spread).write.mode("overwrite").partitionBy(*by).parquet(path)
+    df.hint("rebalance", *[F.col(c) for c in by]).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def fixed_parts_json(df: DataFrame, path: str, parts: int = 4) -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clickloom.functions.scalars import DAY_MS
+from clickloom.functions.scalars import HOUR_MS
 from clickloom.operators.profiles import bucket_states
 from clickloom.sources.readers import PAGE_VIEW_SCHEMA
 
@@ -64,7 +64,7 @@ def _merge_moments(n1: Column, mean1: Column, m1: Column, n2: Column, mean2: Col
     return n, mean1 + F.coalesce(F.try_divide(d * n2, n), F.lit(0.0)), m1 + m2 + F.coalesce(F.try_divide(d * d * n1 * n2, n), F.lit(0.0))
 
 
-def merge_gap_state(old: DataFrame | None, batch: DataFrame, key: str, bucket_ms: int = DAY_MS) -> DataFrame:
+def merge_gap_state(old: DataFrame | None, batch: DataFrame, key: str, bucket_ms: int = HOUR_MS) -> DataFrame:
     """Per-key state after a batch of later rows.
 
     The batch is reduced by skew-safe bucket states; a bridge gap links it to the key's last instant.
