@@ -156,12 +156,10 @@ class Views:
         """(document_id, type_id, confidence_level); kind is topic, entity or category."""
         word = F.col("word")
         type_id = {"topic": F.substring(word, 1, 2), "entity": word, "category": F.substring(word, 1, 1)}[kind]
-        words = self.table("documents").select(
-            F.col("doc_id").alias("document_id"),
-            F.explode(F.filter(F.split(F.lower("text"), " "), lambda w: w != "")).alias("word"),
-        )
-        counts = words.groupBy("document_id", type_id.alias("type_id")).agg(F.count("*").alias("n"))
-        totals = counts.groupBy("document_id").agg(F.sum("n").alias("all_n"))
-        return counts.join(totals, "document_id").select(
-            "document_id", "type_id", (F.col("n") / F.col("all_n")).alias("confidence_level")
+        texts = self.table("documents").select(
+            F.col("doc_id").alias("document_id"), F.filter(F.split(F.lower("text"), " "), lambda w: w != "").alias("words")
         )
+        # The text's word count travels with each word, so no second aggregate is joined back.
+        words = texts.select("document_id", F.size("words").alias("all_n"), F.explode("words").alias("word"))
+        counts = words.groupBy("document_id", "all_n", type_id.alias("type_id")).agg(F.count("*").alias("n"))
+        return counts.select("document_id", "type_id", (F.col("n") / F.col("all_n")).alias("confidence_level"))
