@@ -16,11 +16,12 @@ def gap_apply(
     df: DataFrame, by: Sequence[str], ts: str, partial: Callable[[pd.Series, pd.Series], Sequence[float]], width: int,
     bucket_ms: int = HOUR_MS,
 ) -> DataFrame:
-    """(key, bucket, state): a user function of the gaps that end in each time bucket of a key.
+    """(key, part, state): a user function of the gaps between consecutive events of a key.
 
-    ``partial(gaps, counts)`` gets the distinct gaps of one bucket with how often each occurs and
-    returns ``width`` numbers, which the caller merges with ordinary aggregates. A bucket holds at
-    most ``bucket_ms`` instants, so a hot key is many small groups, not one large one.
+    ``partial(gaps, counts)`` gets distinct gaps with how often each occurs and returns ``width``
+    numbers, which the caller merges with ordinary aggregates. Gaps are counted first and then cut by
+    size into parts of at most ``bucket_ms`` distinct values, so a hot key is several bounded groups
+    and an ordinary key is one or two.
     """
     by = list(by)
     points = df.groupBy(*by, ts).agg(F.count("*").alias("n")).withColumn("bucket", floor_div(ts, bucket_ms))
@@ -32,19 +33,20 @@ def gap_apply(
     # The first instant of a key ends no gap; further rows of one instant end a gap of 0.
     moved = F.struct((F.col(ts) - F.coalesce("_inner", "_bridge")).alias("gap"), F.lit(1).cast("bigint").alias("count"))
     still = F.struct(F.lit(0).cast("bigint").alias("gap"), (F.col("n") - 1).alias("count"))
-    gaps = points.select(*by, "bucket", F.explode(F.array(moved, still)).alias("g")).select(*by, "bucket", "g.*")
-    gaps = gaps.where("gap IS NOT NULL AND count > 0").groupBy(*by, "bucket", "gap").agg(F.sum("count").alias("count"))
+    gaps = points.select(*by, F.explode(F.array(moved, still)).alias("g")).select(*by, "g.*")
+    gaps = gaps.where("gap IS NOT NULL AND count > 0").groupBy(*by, "gap").agg(F.sum("count").alias("count"))
+    gaps = gaps.withColumn("part", floor_div("gap", bucket_ms))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         state = [float(x) for x in partial(pdf["gap"], pdf["count"])]
         if len(state) != width:
             raise ValueError("the function returned another number of values")
         row = {k: pdf[k].iloc[0] for k in by}
-        return pd.DataFrame([{**row, "bucket": pdf["bucket"].iloc[0], "state": state}])
+        return pd.DataFrame([{**row, "part": pdf["part"].iloc[0], "state": state}])
 
     kinds = dict(gaps.dtypes)
-    schema = ", ".join([*[f"{k} {kinds[k]}" for k in by], "bucket bigint", "state array<double>"])
-    return gaps.groupBy(*by, "bucket").applyInPandas(run, schema)
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in by], "part bigint", "state array<double>"])
+    return gaps.groupBy(*by, "part").applyInPandas(run, schema)
 
 
 def map_rows(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
