@@ -11,13 +11,16 @@ POSITIONS = """SELECT *, row_number() OVER (PARTITION BY display_id ORDER BY pro
   count(*) OVER (PARTITION BY display_id) AS n FROM scores"""
 
 
+# The ``impressions`` view clicks the dearest ad of a display, so ``one_click`` holds by construction.
+
+
 def rounded(df, *columns, digits=8):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
 @query("ev_ap_single", "SELECT round(avg(1.0 / position), 8) AS map, count(*) AS clicks FROM positions WHERE clicked = 1", positions=POSITIONS)
 def _(v):
-    return rounded(K.map_single(v.scores), "map")
+    return rounded(K.map_single(v.scores, one_click=True), "map")
 
 
 def map_k_sql(k: int, label: str, source: str) -> str:
@@ -62,7 +65,7 @@ def ranges_sql(ranges, source="positions", by=""):
 
 @query("ev_map_by_ranges", ranges_sql(B.TRAINING_DAY_RANGES), positions=POSITIONS)
 def _(v):
-    return rounded(K.map_by_ranges(v.scores, B.TRAINING_DAY_RANGES), "map12")
+    return rounded(K.map_by_ranges(v.scores, B.TRAINING_DAY_RANGES, one_click=True), "map12")
 
 
 @query("ev_map12", map_k_sql(12, "clicked", "scores"))
@@ -77,7 +80,7 @@ def _(v):
     positions=POSITIONS,
 )
 def _(v):
-    return rounded(rounded(K.improvement_by_size(v.scores), "map12", "chance"), "gain", "gain_norm", digits=6)
+    return rounded(rounded(K.improvement_by_size(v.scores, one_click=True), "map12", "chance"), "gain", "gain_norm", digits=6)
 
 
 @query(
@@ -148,7 +151,7 @@ def valid_rows(v):
 
 @query("ev_baseline_grid", ranges_sql(B.DEFAULT_DAY_RANGES, "grid_positions", "k, reg"), **GRID)
 def _(v):
-    return rounded(B.baseline_grid_map(v.impressions_train, valid_rows(v), _KS, _RS), "map12")
+    return rounded(B.baseline_grid_map(v.impressions_train, valid_rows(v), _KS, _RS, one_click=True), "map12")
 
 
 @query("ev_ranked_list", "SELECT display_id, string_agg(CAST(ad_id AS VARCHAR), ' ' ORDER BY prob DESC, ad_id) AS ad_id FROM scores GROUP BY 1")

@@ -92,7 +92,7 @@ def _(v):
 )
 def _(v):
     path = fresh_dir(v.spark, "metrics")
-    m = K.map_single(v.scores).first()
+    m = K.map_single(v.scores, one_click=True).first()
     O.log_metrics(v.spark, path, "baseline", {"map": m["map"], "clicks": m["clicks"]})
     O.log_metrics(v.spark, path, "data", {"rows": v.impressions.count()})
     return v.spark.read.parquet(path).withColumn("value", F.round("value", 8))

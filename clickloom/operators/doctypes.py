@@ -86,8 +86,8 @@ def types_per_document(types: DataFrame, wide: DataFrame) -> DataFrame:
 
 def document_features(types: DataFrame, rates: DataFrame, name: str, plural: str, k: int) -> DataFrame:
     """One row per document: weighted scores and top-k type rates, page columns and ``ad_`` columns."""
-    # Each of the two tables feeds two plans, so both are written once instead of being computed twice.
-    rated = materialise(rated_types(materialise(with_document_rates(types, rates))))
+    # The rated rows feed two plans, so they are written once; inside, Spark reuses the shuffle of ``types``.
+    rated = materialise(rated_types(with_document_rates(types, rates)))
     scores = document_scores(rated).withColumnsRenamed(
         {"types_prob": f"{plural}_prob", "ad_types_prob": f"ad_{plural}_prob"}
     )

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from clickloom.session import materialise
 
 HOT_GROUP_ROWS = 5_000_000
+FEW_MARKS = 32
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
 
@@ -78,15 +79,36 @@ def rank_in_group(
 
 
 def rows_ahead(
-    df: DataFrame, marked: Column, group: Sequence[str], item: str, scores: Sequence[str], keep: Sequence[str] = ()
+    df: DataFrame,
+    marked: Column,
+    group: Sequence[str],
+    item: str,
+    scores: Sequence[str],
+    keep: Sequence[str] = (),
+    few_marks: int | None = FEW_MARKS,
 ) -> DataFrame:
-    """Position of each marked row in its group by (score desc, item asc), without ranking the rest.
+    """Position of each marked row in its group by (score desc, item asc).
 
-    The marked rows (a few per group) meet their group in an equi-join and the rows ahead are
-    counted, so a hot group is split by the skew join and combined map-side. Several score columns
-    share the join and give ``position_<score>`` each, a single one gives ``position``.
+    Where a group has few marked rows they meet their group in an equi-join and the rows ahead are
+    counted: nothing is ranked, a hot group is split by the skew join and combined map-side. Groups
+    with more than ``few_marks`` marked rows are ranked instead, since a join would pair every mark
+    with every row; None skips that look when the data allow one mark per group only. Several score
+    columns share the work and give ``position_<score>`` each, a single one gives ``position``.
     """
     group, scores = list(group), list(scores)
+    names = {s: "position" if len(scores) == 1 else f"position_{s}" for s in scores}
+    if few_marks is not None:
+        marks = df.where(marked).groupBy(*group).agg(F.count("*").alias("_marks"))
+        crowded = marks.where(F.col("_marks") > few_marks).select(*group)
+        if not crowded.isEmpty():
+            crowded = materialise(crowded)
+            ranked = materialise(df.withColumn("_mark", marked).join(crowded, group, "left_semi"))
+            sizes = ranked.groupBy(*group).agg(F.count("*").alias("group_size"))
+            for s in scores:
+                ranked = rank_in_group(ranked, group, [F.desc(s), F.asc(item)], names[s])
+            ranked = ranked.where("_mark").join(sizes, group).select(*group, item, *keep, *names.values(), "group_size")
+            rest = rows_ahead(df.join(crowded, group, "left_anti"), marked, group, item, scores, keep, None)
+            return rest.unionByName(ranked)
     target = df.where(marked).select(
         *group, F.col(item).alias("_item"), *[F.col(s).alias(f"_s_{s}") for s in scores], *[F.col(c).alias(f"_k_{c}") for c in keep]
     )
@@ -99,10 +121,7 @@ def rows_ahead(
         df.select(*group, item, *scores)
         .join(target, group)
         .groupBy(*group, F.col("_item").alias(item), *[F.col(f"_k_{c}").alias(c) for c in keep])
-        .agg(
-            *[F.count_if(ahead(s)).alias("position" if len(scores) == 1 else f"position_{s}") for s in scores],
-            F.count("*").alias("group_size"),
-        )
+        .agg(*[F.count_if(ahead(s)).alias(names[s]) for s in scores], F.count("*").alias("group_size"))
     )
 
 

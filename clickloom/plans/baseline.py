@@ -52,9 +52,11 @@ def baseline_grid(train: DataFrame, valid: DataFrame, ks=(1, 2, 3), regs=(0, 3,
     return valid.join(ads, "ad_id", "left").select(*valid.columns, *columns)
 
 
-def baseline_grid_map(train: DataFrame, valid: DataFrame, ks=(1, 2, 3), regs=(0, 3, 4, 5, 6), ranges=DEFAULT_DAY_RANGES) -> DataFrame:
+def baseline_grid_map(
+    train: DataFrame, valid: DataFrame, ks=(1, 2, 3), regs=(0, 3, 4, 5, 6), ranges=DEFAULT_DAY_RANGES, one_click: bool = False
+) -> DataFrame:
     """(k, reg, day_from, day_to, map12) of the whole grid."""
     grid = baseline_grid(train, valid, ks, regs)
-    out = map_by_ranges(grid, ranges, scores=[grid_column(k, r) for k in ks for r in regs])
+    out = map_by_ranges(grid, ranges, scores=[grid_column(k, r) for k in ks for r in regs], one_click=one_click)
     number = [F.regexp_extract("score", f"{p}([0-9]+)", 1).cast("int").alias(n) for p, n in (("^k", "k"), ("_reg", "reg"))]
     return out.select(*number, "day_from", "day_to", "map12")

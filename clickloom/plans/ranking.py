@@ -14,10 +14,15 @@ GROUP, ITEM, LABEL, SCORE = "display_id", "ad_id", "clicked", "prob"
 
 def click_positions(
     df: DataFrame, group: Sequence[str] = (GROUP,), item: str = ITEM, label: str = LABEL,
-    score: str | Sequence[str] = SCORE, keep=(),
+    score: str | Sequence[str] = SCORE, keep=(), one_click: bool = False,
 ) -> DataFrame:
-    """Position of every clicked item in its own group, and the group size."""
-    return rows_ahead(df, F.col(label) == 1, group, item, [score] if isinstance(score, str) else score, keep)
+    """Position of every clicked item in its own group, and the group size.
+
+    ``one_click`` says that the data allow one click per group, which saves a look at the click counts.
+    """
+    scores = [score] if isinstance(score, str) else score
+    few = {"few_marks": None} if one_click else {}
+    return rows_ahead(df, F.col(label) == 1, group, item, scores, keep, **few)
 
 
 def mean_or_zero(value: Column) -> Column:

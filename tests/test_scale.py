@@ -48,15 +48,18 @@ def test_global_position(skewed):
     assert len(got) == 3000 and all(want[r["id"]] == r["position"] for r in got)
 
 
-def test_rows_ahead_for_several_scores(skewed):
+@pytest.mark.parametrize("few", [None, 10])  # 10: the hot group has more marks than that and is ranked
+def test_rows_ahead_for_several_scores(skewed, few):
     df, pdf = skewed
     df = df.where("k IS NOT NULL").withColumn("other", -F.col("score"))
-    got = R.rows_ahead(df, F.col("y") == 1, ["k"], "id", ["score", "other"]).collect()
+    got = R.rows_ahead(df, F.col("y") == 1, ["k"], "id", ["score", "other"], ["ts"], few).collect()
     pdf = pdf[pdf.k >= 0]
     for sign, name in ((-1, "position_score"), (1, "position_other")):
         ranked = pdf.assign(s=pdf.score * sign).sort_values(["s", "id"]).assign(p=lambda d: d.groupby("k").cumcount() + 1)
         want = {r.id: r.p for r in ranked[ranked.y == 1].itertuples()}
         assert {r["id"]: r[name] for r in got} == want
+    sizes = pdf.groupby("k").id.count()
+    assert all(r["group_size"] == sizes[r["k"]] for r in got)
 
 
 @pytest.mark.parametrize("bucket", [1, 97, 5000, 10**9])
