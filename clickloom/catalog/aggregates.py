@@ -150,7 +150,7 @@ def _(v):
 @query("agg_conditional_counts", f"SELECT document_id, {_COUNT} FROM views_keyed GROUP BY 1", views_keyed=_VIEWS)
 def _(v):
     keyed = P.with_document_keys(v.page_views, v.doc_meta_derived)
-    return keyed.groupBy("document_id").agg(*[F.sum(e).alias(n) for n, e in P._view_counters().items()])
+    return keyed.groupBy("document_id").agg(*[F.sum(e).alias(n) for n, e in P.view_counters().items()])
 
 
 @query("agg_pageview_profile", VIEW_PROFILE, **VIEW_CTES)

@@ -132,7 +132,7 @@ def click_profiles(df: DataFrame, keys: Sequence[str], ts: str = "ts", label: st
     return name_keys(click_profile(stack_keys(df, keys, [ts, label]), STACK, ts, label), keys)
 
 
-def _view_counters() -> dict[str, Column]:
+def view_counters() -> dict[str, Column]:
     country = F.col("country_id")
     tests = [country == i for i in (1, 2, 3, 4)]
     tests += [F.col("platform") == i for i in (1, 2, 3)] + [F.col("traffic_source") == i for i in (1, 2, 3)]
@@ -141,7 +141,7 @@ def _view_counters() -> dict[str, Column]:
 
 def view_profile(views: DataFrame, by: Sequence[str], ts: str = "ts") -> DataFrame:
     """The 25 page-view statistics per key. ``views`` needs country_id, platform and traffic_source."""
-    out = time_profile(views, by, ts, _view_counters())
+    out = time_profile(views, by, ts, view_counters())
     clock = []
     for stat in ("min", "max", "avg"):
         at = F.floor(F.col(f"ts_{stat}"))
