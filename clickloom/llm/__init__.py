@@ -9,7 +9,7 @@ from clickloom.llm.common import ORACLES, QUERIES
 
 
 def load() -> None:
-    from clickloom.llm import chat, mixing, near_dup  # noqa: F401
+    from clickloom.llm import chat, mixing, near_dup, quality, vectors  # noqa: F401
 
 
 __all__ = ["ORACLES", "QUERIES", "load"]
