@@ -9,7 +9,7 @@ from clickloom.llm.common import ORACLES, QUERIES
 
 
 def load() -> None:
-    from clickloom.llm import chat, html, language, mixing, near_dup, packing, quality, vectors, warc  # noqa: F401
+    from clickloom.llm import chat, html, language, mixing, near_dup, packing, pii, quality, vectors, warc  # noqa: F401
 
 
 __all__ = ["ORACLES", "QUERIES", "load"]
