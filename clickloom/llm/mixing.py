@@ -124,15 +124,20 @@ class _fields:
         return self.column.getField("taken")
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
-    """``docs(doc_id, text, source, ...)`` with size, source_size, target and copies (0 to ``most``, whole) per row.
+def mix(
+    docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, key: str | None = None
+) -> DataFrame:
+    """doc_id, size, source_size, target, copies (0 to ``most``, whole) and key of each row of ``docs(doc_id, text, source)``.
+
+    ``key`` names a stored column of unique longs; without it the rows get numbers of their own.
 
     Null text or a text without words has size 0 and its sure copies only; a null source is a source of its own, last.
     Repeated rows are rounded one by one. The draws are hashes of doc_id and size, so reruns agree. Empty table: no rows.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     sizes = scratch.write(docs.select(
-        "doc_id", "source", n_words(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("key")
+        "doc_id", "source", n_words(F.col("text")).alias("size"),
+        (F.col(key) if key else F.monotonically_increasing_id()).alias("key"),
     ))
     targets = scratch.write(source_targets(sizes, weights, share, most))
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))

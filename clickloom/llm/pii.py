@@ -22,7 +22,7 @@ from clickloom.llm.common import query, table
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 64, 32
 #: Documents that training looks at, about; windows that it uses at most; least probability of an added span.
-FIT_DOCS, FIT_WINDOWS, STEPS, SURE = 4000, 1500, 260, 0.98
+FIT_DOCS, FIT_WINDOWS, STEPS, SURE = 4000, 1500, 400, 0.9
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -264,7 +264,7 @@ class Tagger:
         np.add.at(grad["emb"], classes.T, dx)
         return (z.sum() - score) / n, grad
 
-    def fit(self, classes: np.ndarray, tags: np.ndarray, steps: int = STEPS, batch: int = 48, rate: float = 0.02, seed: int = 1) -> float:
+    def fit(self, classes: np.ndarray, tags: np.ndarray, steps: int = STEPS, batch: int = 32, rate: float = 0.03, seed: int = 1) -> float:
         """Adam on shuffled batches; the last losses' mean."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -277,8 +277,9 @@ class Tagger:
             loss, grad = self.gradient(classes[now], tags[now])
             losses.append(loss)
             norm = np.sqrt(sum((g * g).sum() for g in grad.values()))
-            lr = rate * min(1.0, 5 / (norm + 1e-9)) * (1 - 0.9 * step / steps)
+            lr, cap = rate * (1 - 0.95 * step / steps), min(1.0, 5 / (norm + 1e-9))
             for k, g in grad.items():
+                g = g * cap
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
                 self.p[k] -= lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
