@@ -93,7 +93,7 @@ class Model:
         for row, grams in zip(out, texts, strict=True):
             for g, place in zip(grams, self.columns, strict=True):
                 at = place[g]
-                row[at[at >= 0]] = len(g) ** -0.5
+                row[at[at >= 0]] = max(1, len(g)) ** -0.5
         return out
 
     def kernel(self, texts: list[list[np.ndarray]]) -> np.ndarray:

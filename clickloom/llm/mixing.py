@@ -53,16 +53,16 @@ def _chance(*of: Column) -> Column:
 
 
 def _meet(seed: int):
-    """The pivotal step: ``state(key, size, mass, taken)`` meets the next ``item(order, key, size, mass)``."""
+    """The pivotal step: ``state(key, draw, size, mass, taken)`` meets the next ``item(key, draw, size, mass)``."""
 
     def step(state: Column, item: Column) -> Column:
         up, down = F.least(state.size - state.mass, item.mass), F.least(state.mass, item.size - item.mass)
-        rise = _chance(F.lit(seed), state.key, item.key) * (up + down) < down
+        rise = _chance(F.lit(seed), state.draw, item.draw) * (up + down) < down
 
         def result(goes_on: Column, mass: Column, won: Column | None) -> Column:
             taken = state.taken if won is None else F.concat(state.taken, F.array(won))
             return F.struct(
-                goes_on.key.alias("key"), goes_on.size.alias("size"), mass.alias("mass"), taken.alias("taken")
+                goes_on.key.alias("key"), goes_on.draw.alias("draw"), goes_on.size.alias("size"), mass.alias("mass"), taken.alias("taken")
             )
 
         return (
@@ -78,19 +78,20 @@ def _meet(seed: int):
 def pivotal_rounding(items: DataFrame, scratch: Scratch, seed: int = 7) -> DataFrame:
     """Keys taken up, from ``items(stratum, key, spread, size, mass, members)``, 0 <= mass <= size, size > 0.
 
-    ``spread`` orders and deals out the items of a stratum (a hash, so that a hot stratum becomes many even blocks);
+    ``spread`` orders and deals out the items of a stratum (a hash, so that a hot stratum becomes many even blocks) and
+    makes the draws, so that the outcome does not depend on how rows lie in files; ``key`` only names rows;
     ``members`` is the stratum's row count. Each block leaves its undecided item, and the tree ends with one per
     stratum, which has no partner left and goes to the nearer end.
     """
     # One tree level takes items to blocks; each next level takes blocks to blocks of blocks.
     level = items.withColumn("blocks", F.ceil(F.col("members") / FAN_IN).cast("long"))
-    level = level.withColumn("block", F.pmod("spread", F.col("blocks")))
+    level = level.withColumn("block", F.pmod("spread", F.col("blocks"))).withColumn("draw", F.col("spread"))
     taken = []
     while True:
-        line = F.sort_array(F.collect_list(F.struct("spread", "key", "size", "mass")))
+        line = F.sort_array(F.collect_list(F.struct("spread", "key", "draw", "size", "mass")))
         head = F.get(F.col("line"), 0)
         start = F.struct(
-            head.key.alias("key"), head["size"].alias("size"), head.mass.alias("mass"),
+            head.key.alias("key"), head.draw.alias("draw"), head["size"].alias("size"), head.mass.alias("mass"),
             F.array().cast("array<bigint>").alias("taken"),
         )
         folded = level.groupBy("stratum", "block", "blocks").agg(line.alias("line")).select(
@@ -104,7 +105,7 @@ def pivotal_rounding(items: DataFrame, scratch: Scratch, seed: int = 7) -> DataF
             break
         level = folded.select(
             "stratum", F.floor(F.col("block") / FAN_IN).alias("block"),
-            F.ceil(F.col("blocks") / FAN_IN).cast("long").alias("blocks"), F.col("block").alias("spread"), "key", "size", "mass",
+            F.ceil(F.col("blocks") / FAN_IN).cast("long").alias("blocks"), F.col("block").alias("spread"), "key", "draw", "size", "mass",
         )
     out = taken[0]
     for t in taken[1:]:
@@ -116,7 +117,7 @@ class _fields:
     """Struct fields as attributes (``size`` and others are also Column methods)."""
 
     def __init__(self, column: Column):
-        self.key, self.size, self.mass = (column.getField(x) for x in ("key", "size", "mass"))
+        self.key, self.draw, self.size, self.mass = (column.getField(x) for x in ("key", "draw", "size", "mass"))
         self.column = column
 
     @property
