@@ -9,6 +9,7 @@ is left, or a round gains nothing. Full sequences never move again.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -22,31 +23,51 @@ LENGTH, END_ID = 4096, 1
 #: Pieces of one group, on average.
 GROUP_ROWS = 20_000
 #: Words whose ids a task remembers before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+
+
+#: Words of Latin letters, digits and signs without an apostrophe or ``<``. No rule of the tokenizer reaches across their
+#: runs of letters, single digits and runs of signs, so its model may be asked for each of these by itself.
+_PLAIN = re.compile("[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f!-&(-/:;=-@\\[-`{-~]+")
+_PIECES = re.compile("[a-z\u00df-\u017f]+|[0-9]|[^a-z0-9\u00df-\u017f]+")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte-level models write a byte as itself if it is a visible character, else as the next one from U+0100 on.
+_BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
 
 
 class WordEncoder:
     """Ids of whole texts from remembered ids of their words.
 
     The tokenizer never joins what white space parts, so a text's ids are its words' ids in a row; each new word is
-    encoded by the tokenizer itself. Words are cut at ASCII white space only and keep everything else.
+    encoded by the tokenizer itself (plain words by its model, which spares the work around it). Words are cut at ASCII
+    white space only and keep everything else.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self._clear()
 
+    def word_ids(self, word: str) -> list[int]:
+        if not _PLAIN.fullmatch(word):
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        out = []
+        for piece in _PIECES.findall(word.lower()):
+            if not piece.isascii():
+                piece = "".join([_BYTES[b] for b in piece.encode()])
+            out += [t.id for t in self.model.tokenize(piece)]
+        return out
+
     def _clear(self) -> None:
         self.place: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.first, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def _learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        for word, e in zip(words, found, strict=True):
-            ids, at = e.ids, len(self.place)
+        for word in words:
+            ids, at = self.word_ids(word.decode()), len(self.place)
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             if at == len(self.first):
