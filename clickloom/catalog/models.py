@@ -27,7 +27,7 @@ def training_rows(v):
             rows = rows.join(rate, key)
         return rows.select("display_id", "ad_id", "clicked", "num_ads", *FEATURES)
 
-    return StageStore(v.spark).get("training_rows", compute, partition_by=["num_ads"])
+    return StageStore.of_tables(v.spark, v.sf_dir).get("training_rows", compute, partition_by=["num_ads"])
 
 
 def small_boosting(features=FEATURES, **params):
@@ -108,7 +108,7 @@ def _(v):
 
 @query("mdl_feature_elimination")
 def _(v):
-    return M.feature_elimination(training_rows(v), FEATURES[:5], "display_id", lambda f: small_forest(f, numTrees=4), step=0.5, folds=2)
+    return M.feature_elimination(training_rows(v), FEATURES[:5], "display_id", lambda f: small_forest(f, numTrees=4), folds=2)
 
 
 LONG = """SELECT display_id, ad_id, n, model, prob FROM (

@@ -1,4 +1,4 @@
-"""Stream and user-function queries. The log is cut into files by time and read back as a stream."""
+"""Stream and user-function queries. The log is cut into files and read back as a stream."""
 
 from pyspark.sql import functions as F
 
@@ -21,12 +21,16 @@ GAPS = """SELECT uuid, tot, ts_min, ts_max, ts_avg, ts_var, CASE WHEN tot = 1 TH
 
 
 def write_parts(v, root, parts):
-    """Time slices of the log, written one after the other so that they arrive in time order."""
-    last = v.page_views.agg(F.max("ts")).first()[0]
+    """Parts of the log by a hash, written one after the other: each holds rows of all times, so most are late."""
+    part = F.pmod(F.xxhash64("uuid", "ts"), F.lit(PARTS))
     for p in parts:
-        low, high = last * p // PARTS, last * (p + 1) // PARTS
-        in_slice = (F.col("ts") >= low) & ((F.col("ts") < high) if p < PARTS - 1 else F.lit(True))
-        v.page_views.where(in_slice).coalesce(1).write.mode("append").parquet(root)
+        v.page_views.where(part == p).write.mode("append").parquet(root)
+
+
+def stream_of(v, root, batches=PARTS):
+    """The files as a stream of about ``batches`` batches."""
+    files = len(v.spark.read.parquet(root).inputFiles())
+    return T.page_view_stream(v.spark, root, -(-files // batches))
 
 
 @query(
@@ -37,7 +41,7 @@ def write_parts(v, root, parts):
 def _(v):
     root, out = fresh_dir(v.spark, "stream-in"), fresh_dir(v.spark, "stream-out")
     write_parts(v, root, range(PARTS))
-    stream = T.page_view_stream(v.spark, root)
+    stream = stream_of(v, root)
     T.filtered_append(stream, known_users(v), S.country_group_id(S.geo_part("geo_location", 1)), out, fresh_dir(v.spark, "ckpt"))
     return v.spark.read.parquet(out)
 
@@ -46,7 +50,7 @@ def _(v):
 def _(v):
     root, out = fresh_dir(v.spark, "stream-in"), fresh_dir(v.spark, "stream-out")
     write_parts(v, root, range(PARTS))
-    T.running_counts(T.page_view_stream(v.spark, root), "document_id", out, fresh_dir(v.spark, "ckpt"))
+    T.running_counts(stream_of(v, root), "document_id", out, fresh_dir(v.spark, "ckpt"))
     return readable(T.latest(v.spark, out, "document_id"))
 
 
@@ -54,16 +58,17 @@ def _(v):
 def _(v):
     root, out = fresh_dir(v.spark, "stream-in"), fresh_dir(v.spark, "stream-out")
     write_parts(v, root, range(PARTS))
-    T.running_gaps(T.page_view_stream(v.spark, root), "uuid", out, fresh_dir(v.spark, "ckpt"))
-    return readable(T.final_gap_profile(v.spark.read.parquet(f"{out}/v{PARTS // 2}"), "uuid"))
+    T.running_gaps(stream_of(v, root), "uuid", out, fresh_dir(v.spark, "ckpt"), compact_every=2)
+    return readable(T.gap_profile(T.gap_points_so_far(v.spark, out, "uuid"), "uuid"))
 
 
 @query("str_state_checkpoint", COUNTS)
 def _(v):
     root, out, checkpoint = (fresh_dir(v.spark, n) for n in ("stream-in", "stream-out", "ckpt"))
     write_parts(v, root, range(2))
+    broken = T.fail_once(1)
     T.with_restart(
-        lambda: T.running_counts(T.page_view_stream(v.spark, root, 1), "document_id", out, checkpoint),
+        lambda: T.running_counts(stream_of(v, root, 2), "document_id", out, checkpoint, broken),
         lambda: write_parts(v, root, range(2, PARTS)),
     )
     return readable(T.latest(v.spark, out, "document_id"))
@@ -79,7 +84,7 @@ def _(v):
         x, n = gaps.astype("float64"), counts.astype("float64")
         return [n.sum(), (x * n).sum(), (x * x * n).sum(), x.min(), x.max()]
 
-    states = gap_apply(v.page_views, ["uuid"], "ts", moments, 5, bucket_ms=S.DAY_MS)
+    states = gap_apply(v.page_views, ["uuid"], "ts", moments, 5)
     s = [F.element_at("state", i) for i in range(1, 6)]
     sums = states.groupBy("uuid").agg(
         F.sum(s[0]).alias("n"), F.sum(s[1]).alias("s"), F.sum(s[2]).alias("q"), F.min(s[3]).alias("gap_min"), F.max(s[4]).alias("gap_max")

@@ -34,13 +34,13 @@ def stack_keys(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> Dat
     """Long form with one row per key column: one shuffle serves every key.
 
     A key is (key_num, key_str, key_id): integer keys stay integers, which hash and sort much faster
-    than text; ``key_id`` is the place in ``keys``.
+    than text; keys of all other types are kept as their text, which loses nothing; ``key_id`` is the place in ``keys``.
     """
-    text = {name for name, kind in df.dtypes if kind == "string"}
+    whole = {name for name, kind in df.dtypes if kind in ("tinyint", "smallint", "int", "bigint")}
 
     def cell(i: int, k: str) -> Column:
-        num = F.lit(None) if k in text else F.col(k)
-        label = F.col(k) if k in text else F.lit(None)
+        num = F.col(k) if k in whole else F.lit(None)
+        label = F.lit(None) if k in whole else F.col(k)
         return F.struct(num.cast("bigint").alias("key_num"), label.cast("string").alias("key_str"), F.lit(i).alias("key_id"))
 
     pairs = F.array(*[cell(i, k) for i, k in enumerate(keys)])
@@ -56,11 +56,14 @@ def name_keys(stacked: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def bucket_states(
-    df: DataFrame, by: Sequence[str], ts: str, counters: Mapping[str, Column], bucket_ms: int
+    df: DataFrame, by: Sequence[str], ts: str, counters: Mapping[str, Column], bucket_ms: int, rows: Column | None = None
 ) -> DataFrame:
-    """Partial state per (key, time bucket): counts, moments, first and last instant, inner gaps."""
+    """Partial state per (key, time bucket): counts, moments, first and last instant, inner gaps.
+
+    ``rows`` tells how many events a row of ``df`` stands for, if not one.
+    """
     points = df.groupBy(*by, ts).agg(
-        F.count("*").alias("_n"), *[F.sum(e).alias(name) for name, e in counters.items()]
+        (F.count("*") if rows is None else F.sum(rows)).alias("_n"), *[F.sum(e).alias(name) for name, e in counters.items()]
     ).withColumn("bucket", S.floor_div(ts, bucket_ms))
     w = W.partitionBy(*by, "bucket").orderBy(ts)
     gap = (F.col(ts) - F.lag(ts).over(w)).cast("double")

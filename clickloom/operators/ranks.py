@@ -57,7 +57,7 @@ def rank_in_group(
     The group sizes are looked at first (a column-pruned, map-side combined count over ``sizes_from``,
     a cheaper table with at least as many rows per group, or over the rows themselves). Groups above
     ``hot_rows`` are numbered by range partitions instead of by one window task; there are at most
-    rows / hot_rows of them, which bounds the broadcast.
+    rows / hot_rows of them, and the engine chooses the join by their measured size.
     """
     by = list(by)
     counted = df if sizes_from is None else sizes_from
@@ -65,13 +65,13 @@ def rank_in_group(
     window = F.row_number().over(W.partitionBy(*by).orderBy(*order_by)).cast("bigint")
     if hot.isEmpty():
         return df.withColumn(name, window)
-    hot = F.broadcast(materialise(hot.select(*[F.col(c).alias(f"_h_{c}") for c in by])))
+    hot = materialise(hot.select(*[F.col(c).alias(f"_h_{c}") for c in by]))
     same = reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in by])
     cold_rows = df.join(hot, same, "left_anti").withColumn(name, window)
     placed = global_position(df.join(hot, same, "left_semi"), [*[F.col(c) for c in by], *order_by], "_pos")
     first = placed.groupBy(*[F.col(c).alias(f"_h_{c}") for c in by]).agg((F.min("_pos") - 1).alias("_start"))
     hot_ranked = (
-        placed.join(F.broadcast(first), same)
+        placed.join(first, same)
         .withColumn(name, F.col("_pos") - F.col("_start"))
         .select(*df.columns, name)
     )
@@ -87,7 +87,7 @@ def rows_ahead(
     keep: Sequence[str] = (),
     few_marks: int | None = FEW_MARKS,
 ) -> DataFrame:
-    """Position of each marked row in its group by (score desc, item asc).
+    """Position of each marked row in its group by (score desc, item asc); null scores come last, null items first.
 
     Where a group has few marked rows they meet their group in an equi-join and the rows ahead are
     counted: nothing is ranked, a hot group is split by the skew join and combined map-side. Groups
@@ -114,8 +114,9 @@ def rows_ahead(
     )
 
     def ahead(s: str) -> Column:
-        own = F.col(f"_s_{s}")
-        return (F.col(s) > own) | ((F.col(s) == own) & (F.col(item) <= F.col("_item")))
+        own, first = F.col(f"_s_{s}"), F.coalesce(F.col(item) <= F.col("_item"), F.col(item).isNull())
+        higher = F.when(own.isNull(), F.col(s).isNotNull()).otherwise(F.coalesce(F.col(s) > own, F.lit(False)))
+        return higher | (F.col(s).eqNullSafe(own) & first)
 
     return (
         df.select(*group, item, *scores)

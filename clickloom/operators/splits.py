@@ -2,6 +2,8 @@
 
 A split is a cut in a fixed total order of the group ids, so rows are assigned by comparing their
 own id with a few cut points: the rows themselves are not shuffled or joined.
+
+A null group is a group like any other: it has its place in the hash order, and it comes first in the id order.
 """
 
 from __future__ import annotations
@@ -14,13 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from clickloom.operators.ranks import global_position
+
 _PREFIX_DIGITS = 3  # 4096 buckets of the hash order
-_MAX_BUCKET = 2_000_000
 
 
 def hash_key(group: str | Column, seed: int) -> Column:
+    """md5 of seed and id; the null group hashes the seed alone."""
     group = F.col(group) if isinstance(group, str) else group
-    return F.md5(F.concat(F.lit(f"{seed}:"), group.cast("string")))
+    return F.coalesce(F.md5(F.concat(F.lit(f"{seed}:"), group.cast("string"))), F.md5(F.lit(f"{seed}")))
 
 
 def _distinct_ids(df: DataFrame, group: str) -> DataFrame:
@@ -74,7 +78,8 @@ def _up_to(group: str, cut: tuple[int, str | None, object]) -> Column:
     _, h, i = cut
     if h is None:
         return F.lit(False)
-    return (F.col(_H) < h) | ((F.col(_H) == h) & (F.col(group) <= F.lit(i)))
+    tie = F.col(group).isNull() if i is None else F.coalesce(F.col(group) <= F.lit(i), F.lit(True))
+    return (F.col(_H) < h) | ((F.col(_H) == h) & tie)
 
 
 def sample_groups(df: DataFrame, group: str, fraction: float, seed: int = 1, ids: DataFrame | None = None) -> DataFrame:
@@ -114,50 +119,20 @@ def tail_validation(df: DataFrame, group: str, fraction: float, seed: int = 1, i
     return _with_hash(df, group, seed).withColumn("part", part).drop(_H)
 
 
-def ordered_cuts(df: DataFrame, group: str, ranks) -> list[int]:
-    """Integer ids at the given ranks of the id order.
+def ordered_cuts(df: DataFrame, group: str, ranks) -> list:
+    """Ids at the given ranks of the id order, nulls left out.
 
-    The id range is narrowed by histograms until a cut's bucket is small enough to sort, so an
-    uneven id range costs another pass, not a big task.
+    The ids get their positions from range partitions, so no task holds more than its range, however
+    many ids there are and however unevenly they lie.
     """
-    ids = _distinct_ids(df, group)
-    low, high, total = ids.agg(F.min("id"), F.max("id"), F.count("*")).first()
+    ids = _distinct_ids(df, group).where("id IS NOT NULL")
+    placed = global_position(ids, [F.asc("id")], "rank")
+    total = placed.count()
     if not total:
         return []
-    targets = [(min(max(r, 1), total), low, high, total) for r in ranks(total)]
-    result: list[int | None] = [None] * len(targets)
-    pending = {i: t for i, t in enumerate(targets)}
-    while pending:
-        spans = {(lo, hi) for _, lo, hi, _ in pending.values()}
-        histograms = {}
-        for lo, hi in spans:
-            size = next(n for _, a, b, n in pending.values() if (a, b) == (lo, hi))
-            inside = ids.where(F.col("id").between(lo, hi))
-            if size <= _MAX_BUCKET or lo == hi:
-                wanted = sorted({r for r, a, b, _ in pending.values() if (a, b) == (lo, hi)})
-                rn = F.row_number().over(W.orderBy("id"))  # one bucket, at most _MAX_BUCKET ids
-                rows = inside.withColumn("rn", rn).where(F.col("rn").isin(wanted)).collect()
-                histograms[(lo, hi)] = {r["rn"]: r["id"] for r in rows}
-            else:
-                width = max(1, math.ceil((hi - lo + 1) / 4096))
-                b = F.call_function("div", F.col("id") - F.lit(lo), F.lit(width))
-                rows = inside.groupBy(b.alias("b")).agg(F.count("*").alias("n")).collect()
-                histograms[(lo, hi)] = (width, sorted((r["b"], r["n"]) for r in rows))
-        for i, (rank, lo, hi, _) in list(pending.items()):
-            info = histograms[(lo, hi)]
-            if isinstance(info, dict):
-                result[i] = info[rank]
-                del pending[i]
-                continue
-            width, counts = info
-            seen = 0
-            for b, n in counts:
-                if rank <= seen + n:
-                    start = lo + b * width
-                    pending[i] = (rank - seen, start, min(hi, start + width - 1), n)
-                    break
-                seen += n
-    return result
+    wanted = [min(max(r, 1), total) for r in ranks(total)]
+    found = {r["rank"]: r["id"] for r in placed.where(F.col("rank").isin(sorted(set(wanted)))).collect()}
+    return [found[r] for r in wanted]
 
 
 def ordered_blocks(df: DataFrame, group: str, blocks: int, name: str = "block") -> DataFrame:
@@ -165,7 +140,7 @@ def ordered_blocks(df: DataFrame, group: str, blocks: int, name: str = "block")
     cuts = ordered_cuts(df, group, lambda n: [math.ceil(b * n / blocks) for b in range(1, blocks)])
     number = F.lit(1)
     for cut in cuts:
-        number = number + (F.col(group) > F.lit(cut)).cast("int")
+        number = number + F.coalesce(F.col(group) > F.lit(cut), F.lit(False)).cast("int")
     return df.withColumn(name, number)
 
 
@@ -185,7 +160,7 @@ def ordered_sub_blocks(df: DataFrame, group: str, blocks: int, sub_blocks: int)
     cuts = ordered_cuts(df, group, ranks)
     step = F.lit(0)
     for cut in cuts[:-1]:
-        step = step + (F.col(group) > F.lit(cut)).cast("int")
+        step = step + F.coalesce(F.col(group) > F.lit(cut), F.lit(False)).cast("int")
     df = df.withColumn("_step", step)
     return df.select(
         *[c for c in df.columns if c != "_step"],
@@ -215,8 +190,8 @@ def hash_ranks(df: DataFrame, group: str, seed: int) -> DataFrame:
 
 def kfold(df: DataFrame, group: str, folds: int, seed: int = 1) -> DataFrame:
     """Adds ``fold`` 0..folds-1: rank in hash order modulo folds, so fold sizes differ by one at most."""
-    ranks = hash_ranks(df, group, seed).select(group, (F.col("rank") % folds).cast("int").alias("fold"))
-    return df.join(ranks, group)
+    ranks = hash_ranks(df, group, seed).select(F.col(group).alias("_g"), (F.col("rank") % folds).cast("int").alias("fold"))
+    return df.join(ranks, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
 def day_balanced(

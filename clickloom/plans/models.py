@@ -174,27 +174,44 @@ def naive_bayes_grid(
     return cv.bestModel, df.sparkSession.createDataFrame(data, "smoothing double, accuracy double")
 
 
+def elimination_sizes(features: int, step: float, smallest: int = 1) -> list[int]:
+    """round(features * step^k) for k = 0, 1, ..., down to ``smallest``, each size once."""
+    sizes = [features]
+    while sizes[-1] > smallest:
+        size = max(smallest, round(features * step ** len(sizes)))
+        sizes.append(min(size, sizes[-1] - 1))
+    return sizes
+
+
+def _most_important(model: PipelineModel, features: Sequence[str], size: int) -> list[str]:
+    weights = model.stages[-1].featureImportances.toArray()
+    return [c for _, c in sorted(zip(-weights, features))][:size]
+
+
 def feature_elimination(
     df: DataFrame, features: Sequence[str], group: str, make: Callable[[Sequence[str]], Pipeline], step: float = 0.25,
-    smallest: int = 1, folds: int = 3, label: str = "clicked",
+    smallest: int = 1, folds: int = 4, label: str = "clicked",
 ) -> DataFrame:
-    """(n_features, error, features): cross-validated error while the feature count shrinks by ``step``.
+    """(n_features, error, features): cross-validated error while the share ``step`` of the features is kept each time.
 
-    The features kept are the most important ones of a fit on all rows.
+    Each fold ranks and drops features by fits on its own training rows, so its held-out rows choose nothing. The
+    features named are those that a fit on all rows keeps.
     """
     tagged = materialise(kfold(df, group, folds))
+    sizes = elimination_sizes(len(features), step, smallest)
+    errors: dict[int, list[float]] = {n: [] for n in sizes}
+    for f in range(folds):
+        train, held, current = tagged.where(F.col("fold") != f), tagged.where(F.col("fold") == f), list(features)
+        for n, after in zip(sizes, [*sizes[1:], 0], strict=True):
+            model = make(current).fit(train)
+            wrong = F.avg(((F.col("prob") > 0.5).cast("int") != F.col(label)).cast("int"))
+            errors[n].append(score(model, held, [label]).agg(wrong).first()[0])
+            current = _most_important(model, current, after)
     current, out = list(features), []
-    while True:
-        errors = []
-        for f in range(folds):
-            scored = score(make(current).fit(tagged.where(F.col("fold") != f)), tagged.where(F.col("fold") == f), [label])
-            errors.append(scored.agg(F.avg(((F.col("prob") > 0.5).cast("int") != F.col(label)).cast("int"))).first()[0])
-        out.append((len(current), float(sum(errors) / folds), " ".join(current)))
-        size = max(smallest, int(len(current) * (1 - step)))
-        if size >= len(current):
-            break
-        weights = make(current).fit(tagged).stages[-1].featureImportances.toArray()
-        current = [c for _, c in sorted(zip(-weights, current))][:size]
+    for n, after in zip(sizes, [*sizes[1:], 0], strict=True):
+        out.append((n, float(sum(errors[n]) / folds), " ".join(current)))
+        if after:
+            current = _most_important(make(current).fit(tagged), current, after)
     return df.sparkSession.createDataFrame(out, "n_features int, error double, features string")
 
 

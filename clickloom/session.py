@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import tempfile
 import uuid
@@ -71,6 +72,35 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is a single file, or a table whose write was committed (it has the success marker)."""
+    place, fs = _file_system(spark, path)
+    if not fs.exists(place):
+        return False
+    return fs.getFileStatus(place).isFile() or fs.exists(_file_system(spark, f"{path.rstrip('/')}/_SUCCESS")[0])
+
+
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """Names directly below a folder; none if it is not there."""
+    place, fs = _file_system(spark, folder)
+    return sorted(f.getPath().getName() for f in fs.listStatus(place)) if fs.exists(place) else []
+
+
+def tables_print(spark: SparkSession, folder: str) -> str:
+    """A fingerprint of a folder of tables: name, length and time of each file, one level down."""
+    place, fs = _file_system(spark, folder)
+    seen = []
+    for top in fs.listStatus(place):
+        for f in fs.listStatus(top.getPath()) if top.isDirectory() else [top]:
+            seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(seen)).encode()).hexdigest()
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that nobody has used yet."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

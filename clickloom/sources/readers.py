@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from clickloom.functions.scalars import strip_quotes
+from clickloom.session import is_complete
 
 # Column types of the page-view log; fixed by the published files.
 PAGE_VIEW_SCHEMA = "uuid bigint, document_id bigint, ts bigint, platform int, geo_location string, traffic_source int"
@@ -31,11 +31,18 @@ def csv_without_malformed(spark: SparkSession, path: str, schema: str, header: b
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("columnPruning", "false").csv(path, header=header)
 
 
+def lines_without_header(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of all files but the first line of each, as ``value``; empty lines are left out.
+
+    Read as a table of one column whose separator and quote do not occur, so a data line that equals the header stays.
+    """
+    options = {"header": True, "sep": "\u0001", "quote": "", "escape": "", "mode": "PERMISSIVE"}
+    return spark.read.options(**options).schema("value string").csv(path)
+
+
 def malformed_rows(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
     """The raw lines that ``csv_without_malformed`` leaves out."""
-    lines = spark.read.text(path)
-    if header:
-        lines = lines.where(F.col("value") != lines.first()["value"])
+    lines = lines_without_header(spark, path) if header else spark.read.text(path)
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     parsed = lines.select(F.from_csv("value", f"{schema}, _corrupt_record string", options).alias("r"))
     return parsed.where("r._corrupt_record IS NOT NULL").select("r._corrupt_record")
@@ -56,10 +63,9 @@ def csv_by_header(spark: SparkSession, path: str, integers: Sequence[str], strin
 
 def text_fields(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
     """Lines without the header and without quotes, split at commas into text columns."""
-    lines = spark.read.text(path)
-    header = lines.first()["value"]
+    lines = lines_without_header(spark, path)
     parts = F.split(strip_quotes("value"), ",")
-    return lines.where(F.col("value") != header).select(*[parts[i].alias(n) for i, n in enumerate(names)])
+    return lines.select(*[parts[i].alias(n) for i, n in enumerate(names)])
 
 
 def first_rows(df: DataFrame, order_by: Sequence[str], n: int = 2500) -> DataFrame:
@@ -79,12 +85,10 @@ def union_of(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def parquet_or_csv(spark: SparkSession, base: str, schema: str) -> DataFrame:
-    """``base.parquet`` if it can be read; else ``base.csv``, converted on the way."""
-    try:
-        return spark.read.parquet(f"{base}.parquet")
-    except AnalysisException:
+    """``base.parquet`` if it was written to the end; else ``base.csv``, converted on the way."""
+    if not is_complete(spark, f"{base}.parquet"):
         typed_csv(spark, f"{base}.csv", schema).write.mode("overwrite").parquet(f"{base}.parquet")
-        return spark.read.parquet(f"{base}.parquet")
+    return spark.read.parquet(f"{base}.parquet")
 
 
 def nested_text(spark: SparkSession, path: str, schema: str = "x array<array<double>>, y array<double>") -> DataFrame:

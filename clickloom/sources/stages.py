@@ -5,31 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
 
-from clickloom.session import fresh_dir
+from clickloom.session import fresh_dir, is_complete, shared_dir, tables_print
 from clickloom.sources.writers import partitioned
 
 
 class StageStore:
     """Named Parquet tables under one shared folder.
 
-    A stage counts as present when it can be read and has the asked columns, so a run that stopped
-    half way resumes with the stages it had finished (a failed write leaves no committed files).
+    A stage counts as present when its write was committed (the success marker is there) and it has the
+    asked columns, so a run that stopped half way resumes with the stages it had finished.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         self.root = root or fresh_dir(spark, "stages")
 
+    @classmethod
+    def of_tables(cls, spark: SparkSession, folder: str) -> StageStore:
+        """The store of a folder of tables: the same root for the same files, so later runs find the stages."""
+        return cls(spark, f"{shared_dir(spark).rstrip('/')}/stages-{tables_print(spark, folder)}")
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def read(self, name: str, columns: Sequence[str] = ()) -> DataFrame | None:
-        try:
-            df = self.spark.read.parquet(self.path(name))
-        except AnalysisException:
+        if not is_complete(self.spark, self.path(name)):
             return None
+        df = self.spark.read.parquet(self.path(name))
         return df if set(columns) <= set(df.columns) else None
 
     def get(

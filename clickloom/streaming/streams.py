@@ -1,8 +1,8 @@
 """The page-view log as a stream: filtered append, running per-key profiles and restart.
 
 Every query runs with ``availableNow`` over a file source with a bounded number of files per batch.
-Per-key state is a mergeable table; each micro-batch writes version ``batch + 1`` from version ``batch``,
-so a batch that is run again after a failure gives the same version.
+Per-key state is kept in mergeable tables; each micro-batch writes its own part, so a batch that is run again after a
+failure gives the same state.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from clickloom.functions.scalars import HOUR_MS
-from clickloom.operators.profiles import bucket_states
+from clickloom.operators.profiles import bucket_states, merge_states
+from clickloom.session import children, is_complete
 from clickloom.sources.readers import PAGE_VIEW_SCHEMA
 
 
@@ -31,10 +33,13 @@ def filtered_append(views: DataFrame, users: DataFrame, country_id: Column, out:
     query.outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
-def running_counts(views: DataFrame, key: str, out: str, checkpoint: str) -> None:
+def running_counts(
+    views: DataFrame, key: str, out: str, checkpoint: str, after_write: Callable[[int], None] | None = None
+) -> None:
     """Running count, platform counts and time range per key, from the engine's own keyed state.
 
-    Only keys touched by a batch are written, into the batch's own directory (safe to repeat).
+    Only keys touched by a batch are written, into the batch's own directory (safe to repeat). ``after_write`` is called
+    between a batch's write and its commit.
     """
     state = views.groupBy(key).agg(
         F.count("*").alias("tot"), *[F.count_if(F.col("platform") == i).alias(f"platform{i}") for i in (1, 2, 3)],
@@ -43,6 +48,8 @@ def running_counts(views: DataFrame, key: str, out: str, checkpoint: str) -> Non
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/version={batch_id}")
+        if after_write:
+            after_write(batch_id)
 
     query = state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     query.trigger(availableNow=True).start().awaitTermination()
@@ -54,96 +61,70 @@ def latest(spark: SparkSession, out: str, key: str) -> DataFrame:
     return spark.read.parquet(out).withColumn("_rn", rank).where("_rn = 1").drop("_rn", "version")
 
 
-STATE = "tot bigint, first bigint, last bigint, mean double, m2 double, gap_n bigint, gap_mean double, gap_m2 double, gap_low double, gap_high double, late bigint"
+def gap_points(batch: DataFrame, key: str) -> DataFrame:
+    """What a batch adds to the state: its rows per (key, instant), map-side combined."""
+    return batch.groupBy(key, "ts").agg(F.count("*").alias("n"))
 
 
-def _merge_moments(n1: Column, mean1: Column, m1: Column, n2: Column, mean2: Column, m2: Column) -> tuple[Column, Column, Column]:
-    """Chan's merge of (n, mean, M2)."""
-    n = n1 + n2
-    d = mean2 - mean1
-    return n, mean1 + F.coalesce(F.try_divide(d * n2, n), F.lit(0.0)), m1 + m2 + F.coalesce(F.try_divide(d * d * n1 * n2, n), F.lit(0.0))
+def running_gaps(
+    views: DataFrame, key: str, out: str, checkpoint: str, compact_every: int = 16,
+    after_write: Callable[[int], None] | None = None,
+) -> None:
+    """Running time and gap profile per key, exact for rows that arrive in any order.
 
-
-def merge_gap_state(old: DataFrame | None, batch: DataFrame, key: str, bucket_ms: int = HOUR_MS) -> DataFrame:
-    """Per-key state after a batch of later rows.
-
-    The batch is reduced by skew-safe bucket states; a bridge gap links it to the key's last instant.
-    Rows older than that instant enter the counts and moments and are reported in ``late``; their gaps
-    can only be placed by the batch profile.
+    A late row falls between instants that are already known, so the state keeps the distinct instants. Each batch
+    writes only its own, in its own directory (a repeated batch writes the same again); every ``compact_every`` batches
+    they are merged into one table. ``after_write`` is called between a batch's write and its commit.
     """
-    if old is None:
-        spark = batch.sparkSession
-        old = spark.createDataFrame([], f"{key} {dict(batch.dtypes)[key]}, {STATE}")
-    previous = old.select(F.col(key).alias("_k"), F.col("last").alias("_last"))
-    tagged = batch.select(key, "ts").join(previous, F.col(key).eqNullSafe(F.col("_k")), "left")
-    late = F.col("_last").isNotNull() & (F.col("ts") < F.col("_last"))
-    tagged = tagged.select(key, "ts", F.coalesce(late, F.lit(False)).alias("is_late"))
-    states = bucket_states(tagged, [key, "is_late"], "ts", {}, bucket_ms)
-    line = W.partitionBy(key, "is_late").orderBy("bucket")
-    states = states.withColumn("bridge", (F.col("first") - F.lag("last").over(line)).cast("double"))
-    whole = W.partitionBy(key)
-    states = states.withColumn("_mean", F.sum(F.col("n") * F.col("mean")).over(whole) / F.sum("n").over(whole))
-    d = F.col("mean") - F.col("_mean")
-    fresh = ~F.col("is_late")
-    zero = F.lit(0.0)
-    new = states.groupBy(F.col(key).alias("_k")).agg(
-        F.sum("n").alias("n"), F.max("_mean").alias("n_mean"), F.sum(F.col("m2") + F.col("n") * d * d).alias("n_m2"),
-        F.min("first").alias("n_first"), F.max("last").alias("n_last"),
-        F.min(F.when(fresh, F.col("first"))).alias("f_first"), F.max(F.when(fresh, F.col("last"))).alias("f_last"),
-        F.sum(F.when(fresh, F.col("n"))).alias("f_n"),
-        F.sum(F.when(fresh, F.coalesce("gap_sq", zero) + F.coalesce(F.col("bridge") * F.col("bridge"), zero))).alias("g_sq"),
-        F.min(F.when(fresh, F.least("gap_low", "bridge"))).alias("g_low"),
-        F.max(F.when(fresh, F.greatest("gap_high", "bridge"))).alias("g_high"),
-        F.coalesce(F.sum(F.when(~fresh, F.col("n"))), F.lit(0)).alias("n_late"),
-    )
-    both = old.join(new, F.col(key).eqNullSafe(F.col("_k")), "full")
-
-    def num(c: str, kind: str = "double") -> Column:
-        return F.coalesce(F.col(c), F.lit(0)).cast(kind)
-
-    n, mean, m2 = _merge_moments(num("tot", "bigint"), num("mean"), num("m2"), num("n", "bigint"), num("n_mean"), num("n_m2"))
-    # Gaps inside the batch, then the bridge from the old last instant to the batch's first.
-    inner_n = F.greatest(num("f_n", "bigint") - 1, F.lit(0))
-    inner_mean = F.coalesce(F.try_divide((F.col("f_last") - F.col("f_first")).cast("double"), inner_n), zero)
-    inner_m2 = F.greatest(num("g_sq") - inner_n * inner_mean * inner_mean, zero)
-    g_n, g_mean, g_m2 = _merge_moments(num("gap_n", "bigint"), num("gap_mean"), num("gap_m2"), inner_n, inner_mean, inner_m2)
-    bridge = (F.col("f_first") - F.col("last")).cast("double")
-    has = bridge.isNotNull()
-    b_n, b_mean, b_m2 = _merge_moments(g_n, g_mean, g_m2, has.cast("bigint"), F.coalesce(bridge, zero), zero)
-    return both.select(
-        F.coalesce(F.col(key), F.col("_k")).alias(key), n.alias("tot"),
-        F.least("first", "n_first").alias("first"), F.greatest("last", "n_last").alias("last"),
-        mean.alias("mean"), m2.alias("m2"), b_n.alias("gap_n"), b_mean.alias("gap_mean"), b_m2.alias("gap_m2"),
-        F.least("gap_low", "g_low", bridge).alias("gap_low"), F.greatest("gap_high", "g_high", bridge).alias("gap_high"),
-        (num("late", "bigint") + num("n_late", "bigint")).alias("late"),
-    )
-
-
-def running_gaps(views: DataFrame, key: str, out: str, checkpoint: str) -> None:
-    """Running time and gap profile per key over a log that arrives in time order."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{out}/v{batch_id}") if batch_id else None
-        merge_gap_state(old, batch, key).write.mode("overwrite").parquet(f"{out}/v{batch_id + 1}")
+        gap_points(batch, key).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        if batch_id and batch_id % compact_every == 0:
+            merged = gap_points_so_far(batch.sparkSession, out, key, batch_id)
+            merged.write.mode("overwrite").parquet(f"{out}/merged={batch_id}")
+        if after_write:
+            after_write(batch_id)
 
     query = views.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     query.trigger(availableNow=True).start().awaitTermination()
 
 
-def final_gap_profile(state: DataFrame, key: str) -> DataFrame:
-    one = F.col("tot") == 1
-    return state.select(
-        key, "tot", F.col("first").alias("ts_min"), F.col("last").alias("ts_max"), F.col("mean").alias("ts_avg"),
-        F.when(F.col("tot") > 1, F.try_divide(F.col("m2"), F.col("tot") - 1)).alias("ts_var"),
-        F.coalesce("gap_low", F.lit(0.0)).cast("bigint").alias("gap_min"),
-        F.coalesce("gap_high", F.lit(0.0)).cast("bigint").alias("gap_max"),
-        F.col("gap_mean").alias("gap_avg"),
-        F.when(one, 0.0).when(F.col("gap_n") > 1, F.try_divide(F.col("gap_m2"), F.col("gap_n") - 1)).alias("gap_var"),
-    )
+def gap_points_so_far(spark: SparkSession, out: str, key: str, last_batch: int | None = None) -> DataFrame:
+    """All instants of the complete batches (up to ``last_batch``): the newest merged table and the batches after it."""
+    found = {}
+    for name in children(spark, out):
+        kind, _, number = name.partition("=")
+        if number.isdigit() and (last_batch is None or int(number) <= last_batch) and is_complete(spark, f"{out}/{name}"):
+            found.setdefault(kind, []).append(int(number))
+    merged = max((m for m in found.get("merged", []) if m != last_batch), default=None)
+    paths = [f"{out}/batch={b}" for b in found.get("batch", []) if merged is None or b > merged]
+    if merged is not None:
+        paths.append(f"{out}/merged={merged}")
+    return spark.read.parquet(*paths).groupBy(key, "ts").agg(F.sum("n").alias("n"))
+
+
+def gap_profile(points: DataFrame, key: str, bucket_ms: int = HOUR_MS) -> DataFrame:
+    """Count, time and gap statistics per key from instants, by the skew-safe (key, time bucket) states."""
+    return merge_states(bucket_states(points, [key], "ts", {}, bucket_ms, rows=F.col("n")), [key], [])
+
+
+def fail_once(at_batch: int) -> Callable[[int], None]:
+    """A hook that breaks off the first run of one batch after its write and before its commit."""
+    left = [at_batch]
+
+    def hook(batch_id: int) -> None:
+        if left and batch_id == left[0]:
+            left.clear()
+            raise RuntimeError(f"batch {batch_id} broken off")
+
+    return hook
 
 
 def with_restart(start: Callable[[], None], add_files: Callable[[], None]) -> None:
-    """Run to the end of the files, let new files arrive, run again from the checkpoint."""
-    start()
+    """Run until a batch breaks off or the files end, let new files arrive, and go on from the checkpoint."""
+    try:
+        start()
+    except StreamingQueryException as e:
+        if "broken off" not in str(e):
+            raise
     add_files()
     start()

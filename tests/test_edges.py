@@ -11,6 +11,7 @@ from clickloom.operators import aggregates as A
 from clickloom.operators import joins as J
 from clickloom.operators import profiles as P
 from clickloom.operators import ranks as R
+from clickloom.operators import splits as L
 from clickloom.plans import features as X
 from clickloom.plans import ranking as K
 from clickloom.sources import readers
@@ -195,3 +196,50 @@ def test_accumulate_equals_one_pass(spark):
 
     merged = J.accumulate(state(df.where("x < 7")), state(df.where("x >= 7")), "k", ["n"], ["lo"])
     assert sorted(map(str, merged.collect())) == sorted(map(str, state(df).select("k", "n", "lo").collect()))
+
+
+def test_a_stage_without_its_marker_is_computed_again(spark, tmp_path):
+    store = StageStore(spark, str(tmp_path / "s"))
+    store.get("t", lambda: spark.range(100))
+    (tmp_path / "s" / "t" / "_SUCCESS").unlink()
+    assert store.read("t") is None and store.get("t", lambda: spark.range(7)).count() == 7
+
+
+def test_data_lines_that_equal_the_header_stay(spark, tmp_path):
+    for name in ("a", "b"):
+        open(tmp_path / f"{name}.csv", "w").write('id,price\nid,price\n1,"5"\n')
+    got = sorted(map(tuple, readers.text_fields(spark, str(tmp_path), ["a", "b"]).collect()))
+    assert got == [("1", "5"), ("1", "5"), ("id", "price"), ("id", "price")]
+    assert readers.malformed_rows(spark, str(tmp_path), "id bigint, price bigint").count() == 2
+
+
+def test_profile_keys_of_any_type_stay_apart(spark):
+    df = spark.sql("""SELECT * FROM VALUES (1.2D, TIMESTAMP'2020-01-01 00:00:00.1', DATE'2020-01-01', 1, 0), (1.7D, TIMESTAMP'2020-01-01 00:00:00.2',
+        DATE'2020-01-02', 2, 1) AS t(d, t, day, ts, clicked)""").withColumn("ts", F.col("ts").cast("bigint"))
+    got = P.click_profiles(df, ["d", "t", "day"]).collect()
+    assert len(got) == 6 and {r["tot"] for r in got} == {1}
+    assert {r["key_value"] for r in got if r["key_name"] == "d"} == {"1.2", "1.7"}
+
+
+def test_null_scores_rank_last(spark):
+    df = spark.createDataFrame(
+        [(1, 1, 0, 0.5), (1, 2, 1, None), (1, 3, 0, None), (2, 1, 1, None)], "display_id int, ad_id int, clicked int, prob double"
+    )
+    assert K.map_single(df).first()["map"] == pytest.approx((1 / 2 + 1) / 2) == K.map_at_k(df, 12).first()["map"]
+    wide = df.withColumn("other", F.lit(0.1)).withColumn("day", F.lit(1))
+    got = {r["score"]: r["map12"] for r in K.map_by_ranges(wide, [(1, 2)], scores=["prob", "other"]).collect()}
+    assert got == {"prob": pytest.approx(0.75), "other": pytest.approx(0.75)}
+
+
+def test_a_null_group_is_a_group(spark):
+    df = spark.createDataFrame([(g, i) for i in range(2) for g in (None, 1, 2, 3, 4)], "g int, i int")
+    for out, c in (
+        (L.train_valid(df, "g", 0.5), "part"), (L.tail_validation(df, "g", 0.5), "part"), (L.random_blocks(df, "g", 3), "block"),
+        (L.ordered_blocks(df, "g", 2), "block"), (L.kfold(df, "g", 2), "fold"), (L.sample_groups(df, "g", 1.0), "i"),
+    ):
+        rows = out.select("g", c).collect()
+        assert len(rows) == 10 and all(r[c] is not None for r in rows)
+        if c != "i":
+            assert len({tuple(r) for r in rows}) == 5
+    sub = L.ordered_sub_blocks(df, "g", 2, 2)
+    assert sub.where("block IS NULL OR sub_block IS NULL").count() == 0 and sub.where("g IS NULL AND block = 1").count() == 2

@@ -124,8 +124,7 @@ def test_blocks_against_the_sorted_list(spark, n, blocks):
     assert all(r["block"] == (r["g"] // 3) * blocks // n + 1 for r in ordered)
 
 
-def test_ordered_cuts_narrow_uneven_ranges(spark, monkeypatch):
-    monkeypatch.setattr(L, "_MAX_BUCKET", 20)
+def test_ordered_cuts_in_uneven_ranges(spark):
     ids = [i for i in range(500)] + [10**15 + i * 7 for i in range(300)] + [-(10**12)]
     df = spark.createDataFrame([(i,) for i in ids], "g bigint")
     ranks = [1, 2, 250, 501, 502, 777, 801]

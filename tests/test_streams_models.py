@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clickloom.operators import profiles as P
@@ -20,16 +21,20 @@ def log(spark):
     return spark.createDataFrame(data, VIEWS)
 
 
-@pytest.mark.parametrize("cuts", [[400], [100, 101, 400], [50, 200, 300, 400]])
-def test_running_gaps_equal_the_batch_profile(log, cuts):
-    state, low = None, 0
-    for high in cuts:
-        part = log.where((F.col("ts") >= low * 1000) & (F.col("ts") < high * 1000))
-        state = T.merge_gap_state(state, part, "uuid", bucket_ms=5000)
-        low = high
-    got = {r["uuid"]: r for r in T.final_gap_profile(state, "uuid").collect()}
+@pytest.mark.parametrize("order", ["ts", "-ts", "hash(uuid, ts)"])
+def test_running_gaps_equal_the_batch_profile(spark, log, tmp_path, order):
+    """In time order, in reverse (all rows late) and mixed; one batch breaks off before its commit and is repeated."""
+    root, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    line = log.withColumn("part", F.ntile(6).over(W.orderBy(F.expr(order))))
+    for p in range(1, 7):
+        line.where(F.col("part") == p).drop("part").coalesce(1).write.mode("append").parquet(root)
+    broken = T.fail_once(3)
+    T.with_restart(
+        lambda: T.running_gaps(T.page_view_stream(spark, root, 1), "uuid", out, ckpt, 2, broken), lambda: None
+    )
+    got = {r["uuid"]: r for r in T.gap_profile(T.gap_points_so_far(spark, out, "uuid"), "uuid", 5000).collect()}
     want = {r["uuid"]: r for r in P.time_profile(log, ["uuid"], "ts", {}).collect()}
-    assert set(got) == set(want) and state.where("late > 0").count() == 0
+    assert set(got) == set(want)
     for k, w in want.items():
         for c in ("tot", "ts_min", "ts_max", "gap_min", "gap_max"):
             assert got[k][c] == w[c], (k, c)
@@ -37,12 +42,14 @@ def test_running_gaps_equal_the_batch_profile(log, cuts):
             assert got[k][c] == pytest.approx(w[c]), (k, c)
 
 
-def test_late_rows_are_counted(log):
-    first = T.merge_gap_state(None, log.where("ts >= 100000"), "uuid")
-    both = T.merge_gap_state(first, log.where("ts < 100000"), "uuid")
-    want = {r["uuid"]: r["n"] for r in log.groupBy("uuid").agg(F.count("*").alias("n")).collect()}
-    assert {r["uuid"]: r["tot"] for r in both.collect()} == want
-    assert both.agg(F.sum("late")).first()[0] == 100
+def test_a_late_row_between_two_others(spark):
+    rows = [(1, t) for t in (100, 300, 200, 400)]
+    got = T.gap_profile(T.gap_points(spark.createDataFrame(rows, "uuid bigint, ts bigint"), "uuid"), "uuid").first()
+    assert [got[c] for c in ("gap_min", "gap_max", "gap_avg", "gap_var")] == [100, 100, 100, 0]
+
+
+def test_elimination_sizes():
+    assert M.elimination_sizes(16, 0.25) == [16, 4, 1] and M.elimination_sizes(5, 0.9, 2) == [5, 4, 3, 2]
 
 
 @pytest.fixture(scope="module")
