@@ -22,7 +22,7 @@ from clickloom.llm.common import query, table
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 64, 32
 #: Documents that training looks at, about; windows that it uses at most; least probability of an added span.
-FIT_DOCS, FIT_WINDOWS, STEPS, SURE = 4000, 1500, 400, 0.9
+FIT_DOCS, FIT_WINDOWS, STEPS, SURE = 4000, 1500, 700, 0.6
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -264,7 +264,7 @@ class Tagger:
         np.add.at(grad["emb"], classes.T, dx)
         return (z.sum() - score) / n, grad
 
-    def fit(self, classes: np.ndarray, tags: np.ndarray, steps: int = STEPS, batch: int = 32, rate: float = 0.03, seed: int = 1) -> float:
+    def fit(self, classes: np.ndarray, tags: np.ndarray, steps: int = STEPS, batch: int = 32, rate: float = 0.05, seed: int = 1) -> float:
         """Adam on shuffled batches; the last losses' mean."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
