@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +19,7 @@ ORACLES: dict[str, str] = {}
 #: A word, in Java's and in Python's syntax.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch: whole texts may be long, so batches are kept short.
-BATCH_ROWS = 1024
+BATCH_ROWS = 512
 
 
 def query(name: str, sql: str | None = None):
@@ -68,6 +70,23 @@ class Scratch:
             place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def tidy(run):
+    """Wrap a function over Arrow batches: when its task ends, the worker gives its free memory back.
+
+    Workers live on between tasks, and several stand beside one executor's heap.
+    """
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return wrapped
+
+
 def parts_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import query, table
+from clickloom.llm.common import query, table, tidy
 
 FIT_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE = 150, 16
 ORDERS, CELLS = (1, 2, 3), 1 << 20
@@ -174,7 +174,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             )
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.mapInArrow(tidy(run), f"{kinds}, lang_pred string, score double")
 
 
 def _held_out():

@@ -18,12 +18,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import Scratch, mix64, query, table, text_slices, word_hashes
+from clickloom.llm.common import Scratch, mix64, query, table, text_slices, tidy, word_hashes
 from clickloom.llm.components import components
 
 SHINGLE = 5
@@ -123,7 +122,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             ], ["doc_id", "n_shingles", "fp", "registers"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_shingles long, fp binary, registers binary"
+        tidy(run), "doc_id long, n_shingles long, fp binary, registers binary"
     )
 
 
@@ -138,7 +137,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 pa.array([_pack(s) for s in sets], pa.binary()),
             ], ["id", "n", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, n long, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "id long, n long, shingles binary")
 
 
 def _pack(s: np.ndarray) -> bytes:
@@ -202,10 +201,8 @@ def _forest(pairs, size: int) -> list[tuple[int, int]]:
 def _block_links(percent: int):
     def run(key, t):
         left, right = key[1].as_py(), key[2].as_py()
-        d = t.to_pandas()
-        own = d["block"].to_numpy()
-        ids, n = d["id"].to_numpy(), d["n"].to_numpy()
-        sets = [_unpack(b) for b in d["shingles"]]
+        own, ids, n = (t.column(c).to_numpy() for c in ("block", "id", "n"))
+        sets = [_unpack(b.as_py()) for b in t.column("shingles")]
         a = np.flatnonzero(own == left)
         b = a if left == right else np.flatnonzero(own == right)
         inter = _intersections([sets[i] for i in a], [sets[i] for i in b]).astype(np.int64)
@@ -273,17 +270,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
     limit = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
 
-    @F.pandas_udf("boolean")
-    def likely(r_a: pd.Series, r_b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
-        if not len(r_a):
-            return pd.Series([], dtype=bool)
-        a, b = (np.frombuffer(b"".join(r), np.uint16).reshape(len(r), -1) for r in (r_a, r_b))
-        return pd.Series(estimate(a, b, n_a.to_numpy(), n_b.to_numpy()) >= limit)
+    def likely(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(len(batch), -1) for c in ("r_a", "r_b"))
+            near = estimate(a, b, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()) >= limit
+            yield batch.select(["a", "b"]).filter(pa.array(near))
 
     sized = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     probable = scratch.write(
         pairs.join(side("a"), "a").join(side("b"), "b").where(sized)
-        .where(likely("r_a", "r_b", "n_a", "n_b")).select("a", "b")
+        .mapInArrow(tidy(likely), "a long, b long")
     )
     scratch.drop(shared, crowded, pivots)
 
@@ -305,7 +303,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     near = (
         probable.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("s_a")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("s_b")), "b")
-        .select("a", "b", "s_a", "s_b").mapInArrow(confirm, "a long, b long")
+        .select("a", "b", "s_a", "s_b").mapInArrow(tidy(confirm), "a long, b long")
     )
     size = cluster.join(sets.select("id", "n"), F.col("node") == F.col("id")).groupBy("label").agg(
         F.ceil(F.count("*") / BLOCK_DOCS + F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import Scratch, query, table
+from clickloom.llm.common import Scratch, query, table, tidy
 
 LENGTH, END_ID = 4096, 1
 #: Pieces of one group, on average.
@@ -112,7 +112,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataF
             yield pa.record_batch([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long"
+        tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import query, table
+from clickloom.llm.common import query, table, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 64, 32
@@ -382,7 +382,7 @@ def fit_tagger(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Tagger | None:
                 has += full[keep].tolist()
             yield pa.record_batch([pa.array(xs, pa.binary()), pa.array(ys, pa.binary()), pa.array(has, pa.bool_())], ["x", "y", "has"])
 
-    found = docs.where(spread < share).where(F.col("text").rlike(_ANCHOR)).select("text").mapInArrow(run, "x binary, y binary, has boolean")
+    found = docs.where(spread < share).where(F.col("text").rlike(_ANCHOR)).select("text").mapInArrow(tidy(run), "x binary, y binary, has boolean")
     found = found.withColumn("order", F.xxhash64("x", "y"))
     rows = []
     for has in (True, False):
@@ -415,7 +415,7 @@ def find_spans(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     kind = "array<struct<kind:int,start:int,end:int>>"
-    return docs.mapInArrow(run, f"{kinds}, base {kind}, spans {kind}")
+    return docs.mapInArrow(tidy(run), f"{kinds}, base {kind}, spans {kind}")
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -440,7 +440,7 @@ def redact(docs: DataFrame) -> DataFrame:
             i = batch.schema.get_field_index("text")
             yield batch.set_column(i, "text", pa.array(out, pa.string()))
 
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, ", ".join(f"`{n}` {'string' if n == 'text' else t}" for n, t in docs.dtypes)).select(names)
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(tidy(run), ", ".join(f"`{n}` {'string' if n == 'text' else t}" for n, t in docs.dtypes)).select(names)
 
 
 def mask(text: str, spans) -> str:

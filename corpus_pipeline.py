@@ -34,7 +34,8 @@ def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         marks.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().withColumnRenamed("count", "_rows")
     )
     named = docs.where(F.col("doc_id").isNotNull())
-    once = named.join(ids.where("_rows = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    # Texts meet ids in a merge join at every size, so that cost grows with the input alone.
+    once = named.join(ids.where("_rows = 1").select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
     out = once.union(docs.where(F.col("doc_id").isNull()))
     if ids.where("_rows > 1").limit(1).count():
         again = named.join(ids.where("_rows > 1").select("doc_id"), "doc_id", "left_semi")
@@ -57,7 +58,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = scratch.write(docs.withColumn("_key", F.monotonically_increasing_id()))
     copies = mix(keyed, key="_key").where("copies > 0").select(F.col("key").alias("_key"), F.col("copies").alias("_copies"))
     times = F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_n")
-    return keyed.join(copies.select("_key", times), "_key").select(docs.columns)
+    return keyed.join(copies.select("_key", times).hint("merge"), "_key").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
