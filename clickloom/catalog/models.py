@@ -1,31 +1,53 @@
-"""Model, ensemble and registry queries. Training settings are small here; the published ones are the defaults."""
+"""Model, ensemble and registry queries. Training settings are small here; the published ones are the defaults.
+
+A model's scores depend on the learner, so the queries return what SQL can state of them: which rows were scored by
+which model, how many, on which side of the split, and whether the numbers keep their bounds.
+"""
 
 
 from pyspark.sql import functions as F
 
 from clickloom.catalog.registry import query
+from clickloom.catalog.splits import RANKED
 from clickloom.functions import scalars as S
 from clickloom.operators import aggregates as A
 from clickloom.operators.ranks import group_totals
+from clickloom.operators.splits import train_valid
 from clickloom.plans import models as M
 from clickloom.plans import ranking as K
 from clickloom.session import fresh_dir
 from clickloom.sources import writers as O
 from clickloom.sources.stages import StageStore
+from clickloom.views import SPLIT_SEED
 
 FEATURES = ("ad_prob", "ad_tot", "doc_prob", "user_tot", "adv_prob", "hour", "day", "platform")
 
 
+SIZES = "SELECT display_id, ad_id, clicked, count(*) OVER (PARTITION BY display_id) AS num_ads FROM impressions"
+
+
+def scored():
+    return F.coalesce(F.col("prob").between(0, 1), F.lit(False)).alias("scored")
+
+
 def training_rows(v):
-    """Keyed rows with a few features, kept as a table partitioned by group size."""
+    """Keyed rows with a few features and their side of the split, kept as a table partitioned by group size.
+
+    Rates come from the training displays alone; a key that they do not have gets their mean rate and no count.
+    """
     def compute():
-        rows = group_totals(v.wide, ["display_id"], {"num_ads": F.count("*")})
+        wide = train_valid(v.wide, "display_id", 0.8, SPLIT_SEED, ids=v.display_ids)
+        rows = group_totals(wide, ["display_id"], {"num_ads": F.count("*")})
+        train = wide.where("part = 'train'")
+        mean = train.agg(F.avg("clicked")).first()[0] or 0.0
         for key, prefix in (("ad_id", "ad"), ("ad_document_id", "doc"), ("uuid", "user"), ("ad_advertiser_id", "adv")):
-            rate = A.smoothed_rate(v.wide, key, "clicked", reg=4).select(
-                key, F.col("prob").alias(f"{prefix}_prob"), F.col("tot").cast("double").alias(f"{prefix}_tot")
+            rate = A.smoothed_rate(train, key, "clicked", reg=4).select(
+                F.col(key).alias("_k"), F.col("prob").alias("_p"), F.col("tot").cast("double").alias("_t")
             )
-            rows = rows.join(rate, key)
-        return rows.select("display_id", "ad_id", "clicked", "num_ads", *FEATURES)
+            rows = rows.join(rate, F.col(key).eqNullSafe(F.col("_k")), "left").withColumns({
+                f"{prefix}_prob": F.coalesce("_p", F.lit(mean)), f"{prefix}_tot": F.coalesce("_t", F.lit(0.0)),
+            }).drop("_k", "_p", "_t")
+        return rows.select("display_id", "ad_id", "clicked", "num_ads", "part", *FEATURES)
 
     return StageStore.of_tables(v.spark, v.sf_dir).get("training_rows", compute, partition_by=["num_ads"])
 
@@ -39,28 +61,42 @@ def small_forest(features=FEATURES, **params):
 
 
 def fitted_cohorts(v):
+    """All rows, and one model per group size that has seen the training displays alone."""
     rows = training_rows(v)
-    return rows, M.fit_cohorts(rows, "num_ads", small_boosting)
+    return rows, M.fit_cohorts(rows.where("part = 'train'"), "num_ads", small_boosting)
 
 
-@query("mdl_cohort_boosting")
+@query(
+    "mdl_cohort_boosting",
+    """SELECT num_ads, count(*) AS rows, count(DISTINCT display_id) AS displays, round(1.0 / num_ads, 8) AS chance, TRUE AS beats_chance
+       FROM sized JOIN split_ids USING (display_id) WHERE part = 'valid' AND num_ads BETWEEN 2 AND 12 GROUP BY 1""", sized=SIZES,
+)
 def _(v):
-    """MAP of each cohort's own model on its rows, beside the chance rate."""
+    """Each cohort's own model on the held-out displays: their number, and its MAP against the chance rate."""
     rows, models = fitted_cohorts(v)
-    scored = M.route(rows.where(F.col("num_ads").isin(list(models))), "num_ads", models, max(models), ["display_id", "ad_id", "clicked"])
-    return K.improvement_by_size(scored)
+    held = rows.where(F.col("num_ads").isin(list(models)) & (F.col("part") == "valid"))
+    ranked = M.route(held, "num_ads", models, max(models), ["display_id", "ad_id", "clicked", "num_ads"])
+    sizes = ranked.groupBy("num_ads").agg(F.count("*").alias("rows"), F.count_distinct("display_id").alias("displays"))
+    gains = K.improvement_by_size(ranked).withColumnRenamed("num_ads", "size")
+    return sizes.join(gains, F.col("num_ads") == F.col("size")).select(
+        F.col("num_ads").cast("bigint").alias("num_ads"), "rows", "displays", F.round("chance", 8).alias("chance"), (F.col("map12") > F.col("chance")).alias("beats_chance")
+    )
 
 
-@query("mdl_rounds_by_cv")
+@query("mdl_rounds_by_cv", "SELECT 5::BIGINT AS rounds, 1::BIGINT AS best_map, 1::BIGINT AS best_auc, 1::BIGINT AS best_error, TRUE AS in_bounds")
 def _(v):
-    return M.rounds_by_cv(training_rows(v), "display_id", "ad_id", small_boosting, folds=2)
+    """One best round by each measure among the rounds kept."""
+    out = M.rounds_by_cv(training_rows(v), "display_id", "ad_id", small_boosting, folds=4)
+    best = [F.count_if(c).alias(c) for c in ("best_map", "best_auc", "best_error")]
+    bounds = F.bool_and(F.col("map12").between(0, 1) & F.col("auc").between(0, 1) & F.col("error").between(0, 1))
+    return out.agg(F.count("*").alias("rounds"), *best, bounds.alias("in_bounds"))
 
 
-@query("mdl_forest")
+@query("mdl_forest", "SELECT display_id, ad_id, clicked, part, TRUE AS scored FROM impressions JOIN split_ids USING (display_id)")
 def _(v):
-    rows = M.with_class_weight(training_rows(v))
-    model = small_forest(weight="weight").fit(rows)
-    return M.score(model, rows, ["display_id", "ad_id", "clicked"])
+    rows = training_rows(v)
+    model = small_forest(weight="weight").fit(M.with_class_weight(rows.where("part = 'train'")))
+    return M.score(model, rows, ["display_id", "ad_id", "clicked", "part"]).select("display_id", "ad_id", "clicked", "part", scored())
 
 
 @query("mdl_class_weight", "SELECT display_id, ad_id, round(CASE WHEN clicked = 1 THEN (SELECT sum(1 - clicked) / sum(clicked) FROM impressions) ELSE 1.0 END, 8) AS weight FROM impressions")
@@ -69,16 +105,19 @@ def _(v):
     return out.select("display_id", "ad_id", F.round("weight", 8).alias("weight"))
 
 
-@query("mdl_naive_bayes_grid")
+@query("mdl_naive_bayes_grid", "SELECT unnest([1.0, 100.0])::DOUBLE AS smoothing, TRUE AS in_bounds")
 def _(v):
     _, grid = M.naive_bayes_grid(training_rows(v), ["ad_prob", "doc_prob", "adv_prob", "hour", "platform"], "display_id")
-    return grid
+    return grid.select("smoothing", F.col("accuracy").between(0, 1).alias("in_bounds"))
 
 
-@query("mdl_importance")
+@query("mdl_importance", "SELECT 1.0::DOUBLE AS gain, 1.0::DOUBLE AS cover, 1.0::DOUBLE AS frequency, TRUE AS known")
 def _(v):
+    """The shares of all features add up to one."""
     model = small_boosting().fit(training_rows(v))
-    return M.importance(v.spark, model, fresh_dir(v.spark, "trees"), FEATURES)
+    shares = M.importance(v.spark, model, fresh_dir(v.spark, "trees"), FEATURES)
+    sums = [F.round(F.sum(c), 6).alias(c) for c in ("gain", "cover", "frequency")]
+    return shares.agg(*sums, F.bool_and(F.col("feature").isin(*FEATURES)).alias("known"))
 
 
 @query("snk_importance_report")
@@ -106,9 +145,11 @@ def _(v):
     return out.withColumns({"auc": F.round("auc", 8), "importance": F.round("importance", 6)})
 
 
-@query("mdl_feature_elimination")
+@query("mdl_feature_elimination", "SELECT n_features, n_features AS named, TRUE AS in_bounds FROM (SELECT unnest([8, 2, 1])::INTEGER AS n_features)")
 def _(v):
-    return M.feature_elimination(training_rows(v), FEATURES[:5], "display_id", lambda f: small_forest(f, numTrees=4), folds=2)
+    out = M.feature_elimination(training_rows(v), FEATURES, "display_id", lambda f: small_forest(f, numTrees=4))
+    named = F.size(F.split("features", " ")).alias("named")
+    return out.select("n_features", named, F.col("error").between(0, 1).alias("in_bounds"))
 
 
 LONG = """SELECT display_id, ad_id, n, model, prob FROM (
@@ -160,15 +201,25 @@ def _(v):
     return rounded(M.weighted_ensemble(scores, weights, on=["model", "n"]))
 
 
-@query("mdl_cohort_routing")
+@query(
+    "mdl_cohort_routing",
+    """WITH top AS (SELECT max(num_ads) AS most FROM sized JOIN split_ids USING (display_id) WHERE part = 'train' AND num_ads BETWEEN 2 AND 12)
+       SELECT display_id, ad_id, CAST(CASE WHEN num_ads BETWEEN 2 AND most THEN num_ads ELSE most END AS INTEGER) AS model, TRUE AS scored
+       FROM sized CROSS JOIN top""", sized=SIZES,
+)
 def _(v):
     rows, models = fitted_cohorts(v)
-    return M.route(rows, "num_ads", models, fallback=max(models))
+    routed = M.route(rows, "num_ads", models, fallback=max(models), used="model")
+    return routed.select("display_id", "ad_id", "model", scored())
 
 
-@query("mdl_out_of_fold")
+@query(
+    "mdl_out_of_fold",
+    "SELECT i.display_id, ad_id, CAST(rn % 3 AS INTEGER) AS fold, TRUE AS scored FROM impressions i JOIN ranked USING (display_id)", ranked=RANKED,
+)
 def _(v):
-    return M.out_of_fold(training_rows(v), "display_id", lambda: small_boosting(maxIter=3), folds=3)
+    out = M.out_of_fold(training_rows(v), "display_id", lambda: small_boosting(maxIter=3), folds=3)
+    return out.select("display_id", "ad_id", "fold", scored())
 
 
 _NAMES = """SELECT 'XGB_v' || CAST(500 + c_nationkey AS VARCHAR) || '_' || CAST(c_custkey AS VARCHAR) || '.' || lpad(CAST(1 + c_custkey % 11 AS VARCHAR), 3, '0') AS name,
@@ -212,7 +263,7 @@ def _(v):
     return M.score_with(v.scores.drop("clicked"), prepare, to_matrix, predict, load)
 
 
-@query("mdl_save_load")
+@query("mdl_save_load", "SELECT display_id, ad_id, TRUE AS scored, 0.0::DOUBLE AS difference FROM impressions")
 def _(v):
     """Scores before saving and after loading; the difference is 0."""
     from pyspark.ml import PipelineModel
@@ -223,6 +274,6 @@ def _(v):
     model.save(path)
     before = M.score(model, rows, ["display_id", "ad_id"])
     after = M.score(PipelineModel.load(path), rows, ["display_id", "ad_id"], "again")
-    return before.join(after, ["display_id", "ad_id"]).select("display_id", "ad_id", "prob", (F.col("prob") - F.col("again")).alias("difference"))
+    return before.join(after, ["display_id", "ad_id"]).select("display_id", "ad_id", scored(), (F.col("prob") - F.col("again")).alias("difference"))
 
 

@@ -77,12 +77,17 @@ def fit_cohorts(
         return dict(pool.map(fit, [c for c in cohorts if c in present]))
 
 
-def route(df: DataFrame, cohort: str, models: Mapping[int, Model], fallback: int, keep: Sequence[str] = KEYS) -> DataFrame:
-    """Each row scored by the model of its cohort; other sizes by the fallback model's."""
-    parts = [score(m, df.where(F.col(cohort) == c), keep) for c, m in models.items()]
+def route(
+    df: DataFrame, cohort: str, models: Mapping[int, Model], fallback: int, keep: Sequence[str] = KEYS, used: str | None = None
+) -> DataFrame:
+    """Each row scored by the model of its cohort; other sizes by the fallback model's.
+
+    ``used`` names a column for the cohort whose model scored the row.
+    """
     others = ~F.coalesce(F.col(cohort).isin(list(models)), F.lit(False))
-    parts.append(score(models[fallback], df.where(others), keep))
-    return reduce(DataFrame.unionByName, parts)
+    parts = [(c, score(m, df.where(F.col(cohort) == c), keep)) for c, m in models.items()]
+    parts.append((fallback, score(models[fallback], df.where(others), keep)))
+    return reduce(DataFrame.unionByName, [p.withColumn(used, F.lit(c)) if used else p for c, p in parts])
 
 
 def out_of_fold(df: DataFrame, group: str, make: Callable[[], Estimator], folds: int, keep: Sequence[str] = KEYS, seed: int = 1) -> DataFrame:

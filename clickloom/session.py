@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import pathlib
 import sys
 import tempfile
 import uuid
@@ -101,6 +102,14 @@ def tables_print(spark: SparkSession, folder: str) -> str:
     return hashlib.md5("\n".join(sorted(seen)).encode()).hexdigest()
 
 
+def code_print() -> str:
+    """A fingerprint of this package's source, so that stored stages of other versions are not taken for its own."""
+    top, seen = pathlib.Path(__file__).parent, hashlib.md5()
+    for f in sorted(p for d in ("", "catalog", "functions", "operators", "plans", "sources") for p in (top / d).glob("*.py")):
+        seen.update(f.read_bytes())
+    return seen.hexdigest()
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that nobody has used yet."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.session import fresh_dir, is_complete, shared_dir, tables_print
+from clickloom.session import code_print, fresh_dir, is_complete, shared_dir, tables_print
 from clickloom.sources.writers import partitioned
 
 
@@ -23,8 +23,8 @@ class StageStore:
 
     @classmethod
     def of_tables(cls, spark: SparkSession, folder: str) -> StageStore:
-        """The store of a folder of tables: the same root for the same files, so later runs find the stages."""
-        return cls(spark, f"{shared_dir(spark).rstrip('/')}/stages-{tables_print(spark, folder)}")
+        """The store of a folder of tables: one root for the same files and the same code, so later runs find the stages."""
+        return cls(spark, f"{shared_dir(spark).rstrip('/')}/stages-{tables_print(spark, folder)}-{code_print()[:12]}")
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
