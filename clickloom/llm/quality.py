@@ -81,11 +81,11 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def order_rules(measured: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejections per second on a sample of about ``sample_rows`` documents that pass the base rule."""
-    scratch = Scratch(measured.sparkSession, "quality")
-    share = min(1.0, sample_rows / max(1, measured.select(F.lit(1)).count()))
-    sample = scratch.write(measured.sample(share, seed=11))
+def order_rules(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """The rules by rejections per second on a sample of about ``sample_rows`` documents, which alone are measured here."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    share = min(1.0, sample_rows / max(1, docs.select(F.lit(1)).count()))
+    sample = scratch.write(measures(docs.sample(share, seed=11)))
     score = {}
     for rule in rules:
         started = time.perf_counter()
@@ -107,7 +107,7 @@ def quality_filter(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_
     """The documents with their measures, base_failed and kept. Empty table: no rows; repeated rows are judged each."""
     rules = default_rules() if rules is None else list(rules)
     plain = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    ordered = order_rules(measures(plain), rules, sample_rows)
+    ordered = order_rules(plain, rules, sample_rows)
     out = measures(plain).withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & cascade(ordered).isNull())
 

@@ -47,11 +47,12 @@ def test_verdict_does_not_depend_on_the_order(spark):
     rng = random.Random(1)
     words = ["house", "GARDEN", "!!", "##", "tree", "x" * 40]
     rows = [(i, "\n".join(" ".join(rng.choices(words, [9, i % 5, i % 3, i % 4, 9, i % 2], k=12)) for _ in range(6))) for i in range(60)]
-    df = ql.measures(prepare(spark).createDataFrame(rows, SCHEMA))
+    docs = prepare(spark).createDataFrame(rows, SCHEMA)
+    df = ql.measures(docs)
     rules = ql.default_rules()[:4]
     kept = df.select(*[ql.cascade(p).isNull().alias(f"k{i}") for i, p in enumerate(permutations(rules))]).collect()
     assert all(len(set(r)) == 1 for r in kept) and 0 < sum(r[0] for r in kept) < 60
-    assert {r.name for r in ql.order_rules(df, rules)} == {r.name for r in rules}
+    assert {r.name for r in ql.order_rules(docs, rules)} == {r.name for r in rules}
 
 
 def test_clean_documents_stay(spark):
