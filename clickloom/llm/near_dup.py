@@ -7,8 +7,11 @@ candidates together; two sets as similar as the limit miss all 32 bands with a c
 
 - Buckets of up to ``PAIR_BUCKET`` sets give candidate pairs. The share of equal registers, corrected for chance
   collisions of compressed registers, must reach the limit less five standard errors; full sets then decide.
-- Larger buckets join into clusters (components over buckets), which are compared whole, block against block, on full
-  sets. A block task returns a spanning forest of its links, so a group of copies never becomes a table of all pairs.
+- Larger buckets join into clusters (components over buckets). Each set of a cluster is first held, whole, against the
+  bucket leader it shares most bands with; the largest group linked that way is the cluster's trunk, whose members need
+  no comparison with each other. The rest are compared with the rest and with the trunk, block against block, on full
+  sets. A block task returns a spanning forest of its links. So a group of copies costs about one comparison per copy,
+  and never becomes a table of all pairs.
 
 Both ways are exact on the candidates; the bucket size only chooses between them.
 """
@@ -253,7 +256,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # Large buckets: clusters over buckets, compared whole.
     hot = shared.where(F.col("count") > PAIR_BUCKET)
     pivots = scratch.write(hot.groupBy("key").agg(F.min("id").alias("b")))
-    cluster = scratch.write(components(hot.join(pivots, "key").select(F.col("id").alias("a"), "b").distinct(), scratch))
+    led = hot.join(pivots, "key").groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("bands"))
+    led = scratch.write(led)
+    cluster = scratch.write(components(led.select("a", "b"), scratch))
+    star = scratch.write(
+        led.where("a <> b").groupBy("a").agg(F.max_by("b", F.struct("bands", -F.col("b"))).alias("b"))
+    )
 
     # Small buckets: pairs, estimated from registers.
     small = (
@@ -283,7 +291,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         pairs.join(side("a"), "a").join(side("b"), "b").where(sized)
         .mapInArrow(tidy(likely), "a long, b long")
     )
-    scratch.drop(shared, crowded, pivots)
+    scratch.drop(shared, crowded, pivots, led)
 
     # Full sets of the documents that something asks for.
     asked = scratch.write(
@@ -305,22 +313,45 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("s_b")), "b")
         .select("a", "b", "s_a", "s_b").mapInArrow(tidy(confirm), "a long, b long")
     )
-    size = cluster.join(sets.select("id", "n"), F.col("node") == F.col("id")).groupBy("label").agg(
-        F.ceil(F.count("*") / BLOCK_DOCS + F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")
+    # Clusters: every set against its leader, then what is not in the trunk against all.
+    leaders = scratch.write(sets.join(star.select(F.col("b").alias("id")).distinct(), "id", "left_semi"))
+    attached = scratch.write(
+        star.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("s_a")), "a")
+        .join(leaders.select(F.col("id").alias("b"), F.col("shingles").alias("s_b")), "b")
+        .select("a", "b", "s_a", "s_b").mapInArrow(tidy(confirm), "a long, b long")
+    )
+    parts = components(attached, scratch)
+    members = scratch.write(
+        cluster.join(sets.select("id", "n"), F.col("node") == F.col("id"))
+        .join(parts.select(F.col("node").alias("id"), F.col("label").alias("part")), "id", "left")
+        .select("label", "id", "n", F.coalesce("part", "id").alias("part"))
+    )
+    part_size = scratch.write(
+        members.groupBy("label", "part").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
+    )
+    trunk = part_size.groupBy("label").agg(F.max_by("part", F.struct("docs", -F.col("part"))).alias("trunk"))
+
+    def blocks(side: str):
+        total = lambda c: F.sum(F.when(F.expr(side), F.col(c)).otherwise(0))
+        return F.ceil(total("docs") / BLOCK_DOCS + total("n") / BLOCK_SHINGLES).cast("int")
+
+    size = scratch.write(
+        part_size.join(trunk, "label").groupBy("label", "trunk")
+        .agg(blocks("part <> trunk").alias("rest"), blocks("part = trunk").alias("own")).where("rest > 0")
     )
-    size = scratch.write(size)
     dealt = (
-        cluster.join(size, "label").join(sets, F.col("node") == F.col("id"))
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .select("label", "id", "n", "shingles", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        members.join(size, "label").join(sets.select("id", "shingles"), "id")
+        .withColumn("block", F.expr(
+            "cast(if(part = trunk, rest + pmod(xxhash64(id), own), pmod(xxhash64(id), rest)) AS int)"))
+        .withColumn("other", F.explode(F.expr("sequence(0, if(part = trunk, rest, rest + own) - 1)")))
         .select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "n",
                 "shingles", "block")
     )
     within = dealt.groupBy("label", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
     several = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
-    links = scratch.write(near.union(within).union(several))
+    links = scratch.write(near.union(within).union(several).union(attached))
     found = scratch.write(components(links, scratch))
-    scratch.drop(sets, asked, size, reps, cluster, probable, links)
+    scratch.drop(sets, asked, size, reps, cluster, probable, links, star, leaders, attached, members, part_size)
     part = named.select("doc_id", "n_shingles", "rep").join(
         found.select(F.col("node").alias("rep"), "label"), "rep", "left"
     ).select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))

@@ -73,6 +73,27 @@ def test_groups_of_near_copies_match_brute_force(spark):
     assert found(spark, rows) == want
 
 
+def test_trunk_and_rest_in_many_blocks_match_brute_force(spark, monkeypatch):
+    """Drifting copies: a trunk around the leader, others linked only through further copies, and some with no link."""
+    monkeypatch.setattr(nd, "PAIR_BUCKET", 5)
+    monkeypatch.setattr(nd, "BLOCK_DOCS", 9)
+    rng = random.Random(8)
+    rows = []
+    for chain in range(3):
+        w = [f"w{rng.randrange(9999)}" for _ in range(120)]
+        for i in range(70):
+            v = list(w)
+            for _ in range(rng.choice([0, 1, 2, 5])):
+                v[rng.randrange(len(v))] = f"x{rng.randrange(10**6)}"
+            rows.append((rng.randrange(10**9), " ".join(v)))
+            if i % 10 == 9:  # the base moves on
+                for k in range(2):
+                    w[rng.randrange(len(w))] = f"z{chain}{i}{k}"
+    want = brute(rows)
+    assert 3 < len({r[2] for r in want}) < len(rows)
+    assert found(spark, rows) == want
+
+
 def test_rows_of_one_id_are_one_node(spark):
     a, b = "a b c d e f g h", "q r s t u v w x"
     rows = [(1, a), (2, a), (2, b), (3, b)]
