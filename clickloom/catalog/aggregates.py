@@ -7,9 +7,10 @@ from clickloom.functions import scalars as S
 from clickloom.operators import aggregates as A
 from clickloom.operators import doctypes as D
 from clickloom.operators import profiles as P
-from clickloom.operators.splits import random_blocks
+from clickloom.operators.splits import random_blocks, train_valid
 from clickloom.plans.baseline import default_rate
 from clickloom.plans.wide import PROFILE_KEYS
+from clickloom.views import SPLIT_SEED
 
 from clickloom.catalog.joins import KNOWN_USERS, known_users
 
@@ -101,6 +102,20 @@ def _(v):
     return readable(P.click_profiles(v.wide, PROFILE_KEYS))
 
 
+@query(
+    "agg_key_profile_train_test",
+    f"""SELECT p.* EXCLUDE (clicks, prob), coalesce(r.train_tot, 0) AS train_tot, coalesce(r.clicks, 0) AS clicks, round(coalesce(r.clicks / r.train_tot, 0), 6) AS prob
+        FROM ({profile_sql("stacked_parts", "key_name, key_value")}) p LEFT JOIN
+        (SELECT key_name, key_value, count(*) AS train_tot, CAST(sum(clicked) AS BIGINT) AS clicks FROM stacked_parts WHERE part = 'train' GROUP BY 1, 2) r
+        ON p.key_name = r.key_name AND p.key_value IS NOT DISTINCT FROM r.key_value""",
+    wide_parts="SELECT wide.*, part FROM wide JOIN split_ids USING (display_id)",
+    stacked_parts=STACKED.replace("clicked FROM wide", "clicked, part FROM wide_parts"),
+)
+def _(v):
+    rows = train_valid(v.wide, "display_id", 0.8, SPLIT_SEED, ids=v.display_ids)
+    return readable(P.train_test_profiles(rows.where("part = 'train'"), rows.where("part = 'valid'"), PROFILE_KEYS))
+
+
 @query("agg_click_rate", "SELECT ad_id, CAST(sum(clicked) AS BIGINT) AS clicks, count(*) AS tot, round(sum(clicked) / count(*), 8) AS prob FROM impressions_train GROUP BY 1")
 def _(v):
     return A.smoothed_rate(v.impressions_train, "ad_id", "clicked").withColumn("prob", F.round("prob", 8))

@@ -135,6 +135,21 @@ def click_profiles(df: DataFrame, keys: Sequence[str], ts: str = "ts", label: st
     return name_keys(click_profile(stack_keys(df, keys, [ts, label]), STACK, ts, label), keys)
 
 
+def train_test_profiles(train: DataFrame, test: DataFrame, keys: Sequence[str], ts: str = "ts", label: str = "clicked") -> DataFrame:
+    """``click_profiles`` where test rows count for tot, time and gaps, and the rate comes from the training rows alone.
+
+    ``train_tot`` are the training rows with a label; a key without any has rate 0. The label of ``test`` is not read.
+    """
+    seen = F.col(label).isNotNull().cast("int")
+    rows = train.select(*keys, ts, F.coalesce(label, F.lit(0)).alias("_clicks"), seen.alias("_seen")).unionByName(
+        test.select(*keys, ts, F.lit(0).alias("_clicks"), F.lit(0).alias("_seen"))
+    )
+    stacked = stack_keys(rows, keys, [ts, "_clicks", "_seen"])
+    out = time_profile(stacked, STACK, ts, {"clicks": F.col("_clicks"), "train_tot": F.col("_seen")})
+    rate = F.coalesce(F.try_divide("clicks", "train_tot"), F.lit(0.0))
+    return name_keys(out.select(*STACK, "tot", "train_tot", "clicks", rate.alias("prob"), *TIME_STATS, *GAP_STATS), keys)
+
+
 def view_counters() -> dict[str, Column]:
     country = F.col("country_id")
     tests = [country == i for i in (1, 2, 3, 4)]

@@ -51,16 +51,12 @@ def insert_view_profiles(df: DataFrame, profiles: DataFrame) -> DataFrame:
 def leader_columns(df: DataFrame, group: str, score: str, item: str, columns: Sequence[str], prefix: str = "clk1_") -> DataFrame:
     """Columns of the group's best item (highest score, lowest id) repeated on all rows of the group.
 
-    Only (score, id) goes through the aggregate; the best rows are then picked and joined back.
+    The best item's columns come out of the aggregate itself, combined map-side, and are joined back once. A null group
+    has no leader and its rows go.
     """
-    best = df.groupBy(group).agg(F.max(F.struct(F.col(score), (-F.col(item)).alias("n"))).alias("_best"))
-    leaders = (
-        df.select(group, item, *columns)
-        .join(best.select(group, (-F.col("_best.n")).alias("_item")), group)
-        .where(F.col(item) == F.col("_item"))
-        .select(group, *[F.col(c).alias(prefix + c) for c in columns])
-    )
-    return df.join(leaders, group)
+    order = F.struct(F.col(score), (-F.col(item)).alias("n"))
+    best = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.max_by(F.struct(*columns), order).alias("_best"))
+    return df.join(best.select(group, *[F.col(f"_best.{c}").alias(prefix + c) for c in columns]), group)
 
 
 def document_numerics() -> list[str]:
