@@ -17,6 +17,9 @@ from clickloom.llm.near_dup import near_duplicates
 from clickloom.llm.packing import pack
 from clickloom.llm.pii import redact
 
+#: Documents whose sets of five-word shingles are as similar as this are near duplicates here; op1's limit is its own.
+NEAR_PERCENT = 80
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; the others (no text, or no letter in it) go."""
@@ -26,10 +29,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id; of rows with the same id, one."""
+    """One document of each near-duplicate group (a Jaccard similarity of 0.8 or more, linked transitively), the one with
+    the smallest id; of rows with the same id, one."""
     prepare(spark)
     scratch = Scratch(spark, "stage-near-dup")
-    marks = scratch.write(near_duplicates(docs))
+    marks = scratch.write(near_duplicates(docs, percent=NEAR_PERCENT))
     ids = scratch.write(
         marks.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().withColumnRenamed("count", "_rows")
     )

@@ -1,3 +1,6 @@
+import random
+from itertools import combinations
+
 import corpus_pipeline
 from clickloom.llm.common import prepare
 
@@ -45,3 +48,34 @@ def test_run_equals_its_stages(spark):
     want = run_stages(spark, docs)["packing"]
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+
+
+def test_near_dup_stage_matches_brute_force_at_080(spark):
+    """Texts at all distances from their base, also between 0.80 and 0.85; the stage keeps one of each group."""
+    rng = random.Random(5)
+    rows, sets = [], {}
+    for base in range(12):
+        words = [f"w{base}x{i}" for i in range(104)]
+        for changed in (0, 10, 11, 12, 16, 30):
+            text = list(words)
+            text[len(text) - changed:] = [f"y{rng.randrange(10**9)}" for _ in range(changed)]
+            i = rng.randrange(10**9)
+            sets[i] = {tuple(text[k:k + 5]) for k in range(100)}
+            rows.append((i, " ".join(text), "en", "s", 1))
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    between = 0
+    for a, b in combinations(sets, 2):
+        same, whole = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+        between += 80 * whole <= 100 * same < 85 * whole
+        if 100 * same >= 80 * whole:
+            p, q = sorted((find(a), find(b)))
+            root[q] = p
+    assert between >= 12
+    got = corpus_pipeline.near_dup(spark, prepare(spark).createDataFrame(rows, SCHEMA), None)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(i for i in sets if find(i) == i)
