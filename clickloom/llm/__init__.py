@@ -9,7 +9,20 @@ from clickloom.llm.common import ORACLES, QUERIES
 
 
 def load() -> None:
-    from clickloom.llm import chat, html, language, mixing, near_dup, packing, pii, quality, vectors, warc  # noqa: F401
+    from clickloom.llm import (  # noqa: F401
+        chat,
+        html,
+        language,
+        lexical,
+        mixing,
+        near_dup,
+        packing,
+        pii,
+        quality,
+        variants,
+        vectors,
+        warc,
+    )
 
 
 __all__ = ["ORACLES", "QUERIES", "load"]
