@@ -19,6 +19,7 @@ def load() -> None:
         packing,
         pii,
         quality,
+        tokens,
         variants,
         vectors,
         warc,
