@@ -134,19 +134,33 @@ def frequent_words(docs: DataFrame, pattern: str, scratch: Scratch, most: int) -
     return counts.where(F.col("step") >= cut).select("word")
 
 
-def dictionary(docs: DataFrame, pattern: str, ranks: dict[bytes, int], most: int = DICTIONARY_WORDS) -> dict[str, bytes]:
-    """Ids (little-endian unsigned 32-bit) of the frequent words."""
+def dictionary(docs: DataFrame, pattern: str, ranks: dict[bytes, int], most: int = DICTIONARY_WORDS) -> pa.Table:
+    """(word, ids) of the frequent words: ``most`` rows at most, kept as Arrow columns on the driver."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
     words = frequent_words(docs, pattern, scratch, most).repartition(parts_for(spark))
     ids = fold_merges(F.col("bytes"), rank_map(ranks))
     coded = scratch.write(words.select("word", F.encode("word", "utf-8").alias("bytes")).select("word", ids.alias("ids")))
-    found = coded.toArrow()
-    flat = found.column("ids").combine_chunks()
-    ends = np.append(0, np.cumsum(found.column("ids").to_pandas().str.len().to_numpy())).astype(np.int64) if len(found) else [0]
-    data = flat.flatten().to_numpy().astype("<u4").tobytes()
-    words = found.column("word").to_pylist()
-    return {w: data[4 * a:4 * b] for w, a, b in zip(words, ends[:-1], ends[1:], strict=True)}
+    return coded.toArrow()
+
+
+class Words:
+    """The dictionary in a worker: made from the columns when the worker first needs it, and kept for its later tasks."""
+
+    def __init__(self, coded: pa.Table, ranks: dict[bytes, int]):
+        self.coded, self.ranks, self.ready = coded, ranks, None
+
+    def known(self) -> dict[str, bytes]:
+        if self.ready is None:
+            self.ready = {}
+            for batch in self.coded.to_batches(max_chunksize=1 << 14):
+                ids = batch.column("ids")
+                ends = ids.offsets.to_numpy() - ids.offsets[0].as_py()
+                data = ids.flatten().to_numpy().astype("<u4").tobytes()
+                for word, a, b in zip(batch.column("word").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    self.ready[word] = data[4 * a:4 * b]
+            self.coded = None
+        return self.ready
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, most: int = DICTIONARY_WORDS) -> DataFrame:
@@ -160,12 +174,12 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     ranks = read_ranks(path or str(public_tokenizers.path("byte_bpe_50k.tiktoken")))
     pattern = pattern or public_tokenizers.PATTERN
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = docs.sparkSession.sparkContext.broadcast((dictionary(texts, pattern, ranks, most), ranks))
+    known = docs.sparkSession.sparkContext.broadcast(Words(dictionary(texts, pattern, ranks, most), ranks))
 
     def run(batches):
         import regex
 
-        words, ranks = known.value
+        words, ranks = known.value.known(), known.value.ranks
         find, cache = regex.compile(pattern).findall, {}
 
         def new(word: str) -> bytes:

@@ -59,8 +59,10 @@ def test_ranks_allow_merging_all_at_once():
 
 def test_dictionary_keeps_its_bound(spark):
     docs = prepare(spark).createDataFrame([(" ".join(f"w{j}" for j in range(i)),) for i in range(1, 40)], "text string")
-    assert len(t.dictionary(docs, P.PATTERN, RANKS, 10)) <= 10
-    assert "w" * 100 not in t.dictionary(docs.select(F.lit("w" * 100).alias("text")), P.PATTERN, RANKS)
+    assert t.dictionary(docs, P.PATTERN, RANKS, 10).num_rows <= 10
+    words = t.Words(t.dictionary(docs, P.PATTERN, RANKS), RANKS).known()
+    assert words and all(np.frombuffer(ids, "<u4").tolist() == ENCODING.encode_ordinary(w) for w, ids in words.items())
+    assert t.dictionary(docs.select(F.lit("w" * 100).alias("text")), P.PATTERN, RANKS).num_rows == 0
 
 
 def test_empty_table(spark):
