@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
@@ -18,6 +17,7 @@ from clickloom.functions.scalars import HOUR_MS
 from clickloom.operators.profiles import bucket_states, merge_states
 from clickloom.session import children, is_complete
 from clickloom.sources.readers import PAGE_VIEW_SCHEMA
+from clickloom.streaming.versioned import VERSION, VersionedTable
 
 
 def page_view_stream(spark: SparkSession, path: str, files_per_batch: int = 2) -> DataFrame:
@@ -38,8 +38,8 @@ def running_counts(
 ) -> None:
     """Running count, platform counts and time range per key, from the engine's own keyed state.
 
-    Only keys touched by a batch are written, into the batch's own directory (safe to repeat). ``after_write`` is called
-    between a batch's write and its commit.
+    Only keys touched by a batch are written, as a run of a table of newest rows (safe to repeat). ``after_write`` is
+    called between a batch's write and its commit.
     """
     state = views.groupBy(key).agg(
         F.count("*").alias("tot"), *[F.count_if(F.col("platform") == i).alias(f"platform{i}") for i in (1, 2, 3)],
@@ -47,7 +47,7 @@ def running_counts(
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/version={batch_id}")
+        VersionedTable(batch.sparkSession, out, [key]).put(batch, batch_id)
         if after_write:
             after_write(batch_id)
 
@@ -56,9 +56,8 @@ def running_counts(
 
 
 def latest(spark: SparkSession, out: str, key: str) -> DataFrame:
-    """Newest row per key of ``running_counts`` output (a per-task top-1 before the shuffle)."""
-    rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("version")))
-    return spark.read.parquet(out).withColumn("_rn", rank).where("_rn = 1").drop("_rn", "version")
+    """Newest row per key of ``running_counts`` output."""
+    return VersionedTable(spark, out, [key]).read().drop(VERSION)
 
 
 def gap_points(batch: DataFrame, key: str) -> DataFrame:
