@@ -21,6 +21,8 @@ from clickloom.streaming.versioned import VersionedTable
 
 #: The key as text that is never null (a null in a key column does not survive the way to the Python worker).
 KEY = "_key"
+#: Added to a row's time for the watermark, which starts at 0 and would take all rows up to there for late ones.
+SHIFT_MS = 4_000_000_000_000
 STATE = "ts array<bigint>, n array<bigint>"
 COLUMNS = (
     "bucket bigint, n bigint, first bigint, last bigint, gap_low double, gap_high double, gap_sq double, mean double, m2 double"
@@ -41,7 +43,7 @@ class BucketGaps(StatefulProcessor):
         known = self.points.get() if self.points.exists() else None
         if known is None:
             ts, n = new, np.ones(len(new), np.int64)
-            self.handle.registerTimer(int((key[1] + 1) * self.bucket_ms - 1))
+            self.handle.registerTimer(int((key[1] + 1) * self.bucket_ms - 1 + SHIFT_MS))
         else:
             ts = np.concatenate([np.asarray(known[0], np.int64), new])
             n = np.concatenate([np.asarray(known[1], np.int64), np.ones(len(new), np.int64)])
@@ -80,13 +82,13 @@ def keyed_gaps(
 ):
     """Run the stream to its end and return the query (its progress tells the size of the state).
 
-    ``delay`` is how far behind the newest row a row may come; rows that come later are left out, and the state holds the
-    buckets of that span alone. ``after_write`` is called between a batch's write and its commit.
+    Rows must come less than ``delay`` behind the newest row; later ones are left out, and the state holds the buckets of
+    that span alone. ``after_write`` is called between a batch's write and its commit.
     """
     kind = views.schema[key].dataType.simpleString()
     text = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
     rows = views.select(
-        text.alias(KEY), "ts", floor_div("ts", bucket_ms).alias("bucket"), F.timestamp_millis("ts").alias("at")
+        text.alias(KEY), "ts", floor_div("ts", bucket_ms).alias("bucket"), F.timestamp_millis(F.col("ts") + SHIFT_MS).alias("at")
     ).withWatermark("at", delay)
     states = rows.groupBy(KEY, "bucket").transformWithStateInPandas(
         BucketGaps(bucket_ms), f"{KEY} string, {COLUMNS}", "Update", "EventTime"
