@@ -119,18 +119,35 @@ def staged_scores(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> D
     return out.select(*keep, F.explode(cells).alias("c")).select(*keep, "c.*")
 
 
+#: Marks the rows that a stopping fit validates on.
+HELD_OUT = "_held_out"
+
+
+def stopping(pipeline: Pipeline, tolerance: float) -> Pipeline:
+    """The boosting pipeline with a fit that stops by the loss of the rows marked ``HELD_OUT``, which it does not learn from."""
+    *prepare, boosted = pipeline.getStages()
+    boosted = boosted.copy({boosted.validationIndicatorCol: HELD_OUT, boosted.validationTol: tolerance})
+    return Pipeline(stages=[*prepare, boosted])
+
+
 def rounds_by_cv(
     df: DataFrame, group: str, item: str, make: Callable[[], Estimator], folds: int = 4, label: str = "clicked",
-    patience: int = 25, seed: int = 1,
+    patience: int = 25, seed: int = 1, tolerance: float | None = None,
 ) -> DataFrame:
     """(round, map12, auc, error) averaged over the folds, with the best round by each measure marked.
 
-    Rounds after ``patience`` rounds without a better MAP are left out, as early stopping would.
+    With a ``tolerance``, a fold's fit itself ends once a round lowers the loss of the held-out rows by less than that
+    share; such a fold counts with its last round in the rounds that others go on to. Rounds after ``patience`` rounds
+    without a better MAP are left out.
     """
     tagged = materialise(kfold(df, group, folds, seed))
-    parts = []
+    parts, longest = [], 1
     for f in range(folds):
-        model = make().fit(tagged.where(F.col("fold") != f))
+        if tolerance is None:
+            model = make().fit(tagged.where(F.col("fold") != f))
+        else:
+            model = stopping(make(), tolerance).fit(tagged.withColumn(HELD_OUT, F.col("fold") == f))
+        longest = max(longest, model.stages[-1].getNumTrees)
         parts.append(staged_scores(model, tagged.where(F.col("fold") == f), [group, item, label, "fold"]))
     scored = materialise(reduce(DataFrame.unionByName, parts))
     by = ["fold", "round"]
@@ -138,9 +155,12 @@ def rounds_by_cv(
     maps = ranked.groupBy(*by).agg(F.avg(1 / F.col("position")).alias("map12"))
     wrong = scored.groupBy(*by).agg(F.avg(((F.col("prob") > 0.5).cast("int") != F.col(label)).cast("int")).alias("error"))
     areas = ranking_auc(scored, by, "prob", label)
-    per_round = maps.join(wrong, by).join(areas, by).groupBy("round").agg(
-        *[F.avg(c).alias(c) for c in ("map12", "auc", "error")]
-    )
+    measured = maps.join(wrong, by).join(areas, by)
+    last = measured.groupBy("fold").agg(F.max("round").alias("_last"))
+    steps = last.select("fold", "_last", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("_round"))
+    per_round = steps.join(
+        measured, (steps["fold"] == measured["fold"]) & (F.least("_round", "_last") == F.col("round"))
+    ).groupBy(F.col("_round").alias("round")).agg(*[F.avg(c).alias(c) for c in ("map12", "auc", "error")])
     rows = sorted(per_round.collect(), key=lambda r: r["round"])  # one row per round
     kept, best = [], None
     for r in rows:

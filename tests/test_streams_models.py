@@ -86,6 +86,23 @@ def test_staged_scores_end_at_the_model(clicks):
     assert last.where(F.abs(F.col("prob") - F.col("p")) > 1e-9).count() == 0
 
 
+def test_fits_stop_before_their_last_round(clicks):
+    """A fit stops by the held-out loss without learning from those rows, and rounds go on to the longest fold's."""
+    make = lambda: M.boosting(["a", "b"], maxIter=30, maxDepth=3, stepSize=0.3)
+    held = clicks.withColumn(M.HELD_OUT, F.col("display_id") % 4 == 0)
+    model = M.stopping(make(), 0.05).fit(held)
+    trees = model.stages[-1].getNumTrees
+    assert 1 <= trees < 30
+    full = M.boosting(["a", "b"], maxIter=trees, maxDepth=3, stepSize=0.3).fit(held.where(~F.col(M.HELD_OUT)))
+    both = M.score(model, held, ["ad_id"]).join(M.score(full, held, ["ad_id"], "p"), "ad_id")
+    assert both.where(F.abs(F.col("prob") - F.col("p")) > 1e-9).count() == 0
+    rounds = M.rounds_by_cv(clicks, "display_id", "ad_id", make, folds=2, tolerance=0.05).orderBy("round").collect()
+    assert [r["round"] for r in rounds] == list(range(1, len(rounds) + 1)) and len(rounds) < 30
+    assert [sum(r[c] for r in rounds) for c in ("best_map", "best_auc", "best_error")] == [1, 1, 1]
+    top = max(rounds, key=lambda r: r["map12"])
+    assert top["best_map"] and all(0 <= r[c] <= 1 for r in rounds for c in ("map12", "auc", "error"))
+
+
 def test_importance_shares_add_up(spark, clicks, tmp_path):
     imp = M.importance(spark, small().fit(clicks), str(tmp_path / "m"), ["a", "b"])
     total = imp.agg(*[F.sum(c).alias(c) for c in ("gain", "cover", "frequency")]).first()
