@@ -150,7 +150,7 @@ def _(v):
 @query("mdl_importance", "SELECT 1.0::DOUBLE AS gain, 1.0::DOUBLE AS cover, 1.0::DOUBLE AS frequency, TRUE AS known")
 def _(v):
     """The shares of all features add up to one."""
-    model = small_boosting().fit(training_rows(v))
+    model = small_boosting().fit(training_rows(v).where("part = 'train'"))
     shares = M.importance(v.spark, model, fresh_dir(v.spark, "trees"), FEATURES)
     sums = [F.round(F.sum(c), 6).alias(c) for c in ("gain", "cover", "frequency")]
     return shares.agg(*sums, F.bool_and(F.col("feature").isin(*FEATURES)).alias("known"))
@@ -158,7 +158,7 @@ def _(v):
 
 @query("snk_importance_report")
 def _(v):
-    model = small_forest().fit(training_rows(v))
+    model = small_forest().fit(training_rows(v).where("part = 'train'"))
     path = fresh_dir(v.spark, "importance")
     O.log_importance(M.importance(v.spark, model, fresh_dir(v.spark, "trees"), FEATURES), path, "RF_v001")
     return v.spark.read.parquet(path)
@@ -305,7 +305,7 @@ def _(v):
     from pyspark.ml import PipelineModel
 
     rows = training_rows(v)
-    model = small_boosting().fit(rows)
+    model = small_boosting().fit(rows.where("part = 'train'"))
     path = fresh_dir(v.spark, "model")
     model.save(path)
     before = M.score(model, rows, ["display_id", "ad_id"])
