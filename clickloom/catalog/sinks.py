@@ -46,24 +46,30 @@ def _(v):
     return back.select("label", vector_to_array("features").alias("features"))
 
 
-@query("snk_batch_table", "SELECT CAST(floor((rn - 1) * 8.0 / n) + 1 AS INTEGER) AS block, count(*) AS n, CAST(sum(ad_id) AS BIGINT) AS ads FROM impressions JOIN ranked USING (display_id) GROUP BY 1", ranked=RANKED)
+@query("snk_batch_table", "SELECT i.display_id, ad_id, clicked, CAST(floor((rn - 1) * 8.0 / n) + 1 AS INTEGER) AS block FROM impressions i JOIN ranked USING (display_id)", ranked=RANKED)
 def _(v):
+    """Eight batches, of which one lacks half of its rows at first and is written again; all rows are read back."""
     path = fresh_dir(v.spark, "batch-table")
-    O.partitioned(random_blocks(v.impressions, "display_id", 8), path, ["block"])
-    return v.spark.read.parquet(path).groupBy("block").agg(F.count("*").alias("n"), F.sum("ad_id").alias("ads"))
+    rows = random_blocks(v.impressions.drop("price"), "display_id", 8)
+    O.partitioned(rows.where("block <> 3 OR ad_id % 2 = 0"), path, ["block"])
+    O.replace_partitions(rows.where("block = 3"), path, ["block"])
+    return v.spark.read.parquet(path)
 
 
 @query(
     "snk_cohort_partitions",
-    """SELECT CAST(num_ads AS INTEGER) AS num_ads, CAST(floor((rn - 1) * 4.0 / n) + 1 AS INTEGER) AS block, count(*) AS rows, CAST(sum(clicked) AS BIGINT) AS clicks
-       FROM sized JOIN ranked USING (display_id) WHERE num_ads BETWEEN 2 AND 12 GROUP BY 1, 2""",
+    """SELECT s.display_id, ad_id, clicked, CAST(num_ads AS INTEGER) AS num_ads, CAST(floor((rn - 1) * 4.0 / n) + 1 AS INTEGER) AS block
+       FROM sized s JOIN ranked USING (display_id) WHERE num_ads BETWEEN 2 AND 12""",
     ranked=RANKED, sized=SIZED,
 )
 def _(v):
+    """Cohort by batch; one batch of one cohort is first written without its clicks, then again by itself."""
     path = fresh_dir(v.spark, "cohorts")
     rows = random_blocks(sized(v), "display_id", 4).where(F.col("num_ads").between(2, 12))
-    O.partitioned(rows, path, ["num_ads", "block"])
-    return v.spark.read.parquet(path).groupBy("num_ads", "block").agg(F.count("*").alias("rows"), F.sum("clicked").alias("clicks"))
+    one = (F.col("num_ads") == 5) & (F.col("block") == 2)
+    O.partitioned(rows.where(~(one & (F.col("clicked") == 1))), path, ["num_ads", "block"])
+    O.replace_partitions(rows.where(one), path, ["num_ads", "block"])
+    return v.spark.read.parquet(path)
 
 
 @query("snk_fixed_parts_text", "SELECT display_id, ad_id, clicked::BIGINT AS clicked, CAST(4 AS BIGINT) AS parts FROM impressions")

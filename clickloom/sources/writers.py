@@ -41,6 +41,15 @@ def partitioned(df: DataFrame, path: str, by: Sequence[str]) -> None:
     df.hint("rebalance", *[F.col(c) for c in by]).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
+def replace_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
+    """Write the partitions that ``df`` has rows for in place of the stored ones; all others stay as they are.
+
+    So a batch that was broken off, or whose rows have changed, is written again by itself.
+    """
+    rows = df.hint("rebalance", *[F.col(c) for c in by])
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def fixed_parts_json(df: DataFrame, path: str, parts: int = 4) -> None:
     df.repartition(parts).write.mode("overwrite").json(path)
 
