@@ -12,6 +12,7 @@ from clickloom.operators import ranks as R
 from clickloom.operators.aggregates import rank_statistics, smoothed_rate
 from clickloom.operators.profiles import gap_to_previous
 from clickloom.operators.splits import sample_groups
+from clickloom.plans import models as M
 
 RELEVANT = "SELECT display_id, ad_id, prob, CAST(CASE WHEN ad_id % 4 = 0 OR clicked = 1 THEN 1 ELSE 0 END AS INTEGER) AS relevant FROM scores"
 
@@ -152,14 +153,20 @@ def _(v):
 
 @query(
     "ord_restore",
-    """SELECT display_id, ad_id, round(prob / n, 8) AS prob, row_number() OVER (ORDER BY display_id, ad_id) AS position
-       FROM (SELECT *, count(*) OVER (PARTITION BY display_id) AS n FROM scores) t""",
+    """SELECT display_id, ad_id, round(CASE WHEN n BETWEEN 2 AND 12 THEN prob / total + 1.0 / n ELSE prob END, 8) AS prob, row_number() OVER (ORDER BY display_id, ad_id) AS position
+       FROM (SELECT *, count(*) OVER (PARTITION BY display_id) AS n, greatest(sum(prob) OVER (PARTITION BY display_id), 1) AS total FROM scores) t""",
 )
 def _(v):
-    sized = R.group_totals(v.scores, ["display_id"], {"n": F.count("*")})
-    # Each cohort is scored on its own; the keys travel with the scores, so the order comes back by key.
-    scored = sized.select("display_id", "ad_id", F.round(F.col("prob") / F.col("n"), 8).alias("prob"))
-    return R.global_position(scored, [F.asc("display_id"), F.asc("ad_id")])
+    """Each cohort's function scores the displays of its size as a whole; the rows come back in the order of their keys."""
+
+    def of_size(n):
+        import numpy as np
+
+        return lambda x: x[:, :, 0] / np.maximum(x[:, :, 0].sum(axis=1, keepdims=True), 1) + 1 / n
+
+    functions = {n: of_size(n) for n in M.COHORTS}
+    scored = M.score_sequences(v.scores, "display_id", "ad_id", ["prob"], functions, lambda x: x[:, :, 0])
+    return R.global_position(scored.withColumn("prob", F.round("prob", 8)), [F.asc("display_id"), F.asc("ad_id")])
 
 
 @query("set_union_all", "SELECT display_id, ad_id, clicked FROM impressions")

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, NaiveBayes, RandomForestClassifier
@@ -319,3 +320,32 @@ def score_with(
 
     kinds = dict(df.dtypes)
     return df.mapInPandas(run, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "prob double"]))
+
+
+def score_sequences(
+    df: DataFrame, group: str, item: str, features: Sequence[str], functions: Mapping[int, Callable[[np.ndarray], np.ndarray]],
+    fallback: Callable[[np.ndarray], np.ndarray], name: str = "prob",
+) -> DataFrame:
+    """(group, item, prob): each group's rows, ordered by item, scored together by the function of the group's size.
+
+    A function takes values of shape (groups, size, features) and gives scores of shape (groups, size); sizes without a
+    function of their own go to ``fallback``. Groups of one size meet in the same call, a batch at a time; their keys
+    come back with the scores. Null values reach the functions as NaN.
+    """
+    row = F.struct(item, F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
+    groups = df.groupBy(group).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for size, part in pdf.groupby(pdf["rows"].str.len()):
+                values = np.array([[list(r["x"]) for r in rows] for rows in part["rows"]], dtype=float)
+                scores = np.asarray(functions.get(int(size), fallback)(values), dtype=float)
+                if scores.shape != values.shape[:2]:
+                    raise ValueError(f"the function of size {size} returned the shape {scores.shape}")
+                yield pd.DataFrame({
+                    group: np.repeat(part[group].to_numpy(), size), item: [r[item] for rows in part["rows"] for r in rows],
+                    name: scores.ravel(),
+                })
+
+    kinds = dict(df.dtypes)
+    return groups.mapInPandas(run, f"{group} {kinds[group]}, {item} {kinds[item]}, {name} double")

@@ -117,3 +117,20 @@ def test_registry_picks_complete_versions(spark):
     got = M.ready_versions(models, none).collect()
     assert len(got) == 11 and min(r["name"] for r in got if r["cohort"] == 1) == "XGB_v501_0.001"
     assert M.ready_versions(models, spark.createDataFrame([(501,)], "version int")).count() == 0
+
+
+def test_sequences_are_scored_by_the_function_of_their_size(spark, clicks):
+    """Functions see whole groups in item order; sizes without a function go to the fallback; keys come back."""
+    functions = {2: lambda x: x[:, ::-1, 0], 3: lambda x: x[:, :, 0] + x[:, :, 1].sum(axis=1, keepdims=True)}
+    scored = M.score_sequences(clicks, "display_id", "ad_id", ["a", "b"], functions, lambda x: -x[:, :, 0])
+    got = {(r["display_id"], r["ad_id"]): r["prob"] for r in scored.collect()}
+    groups = {}
+    for r in clicks.orderBy("display_id", "ad_id").collect():
+        groups.setdefault(r["display_id"], []).append(r)
+    want = {}
+    for rows in groups.values():
+        a, b = [r["a"] for r in rows], sum(r["b"] for r in rows)
+        p = a[::-1] if len(rows) == 2 else [x + b for x in a] if len(rows) == 3 else [-x for x in a]
+        want |= {(r["display_id"], r["ad_id"]): x for r, x in zip(rows, p, strict=True)}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert M.score_sequences(clicks.limit(0), "display_id", "ad_id", ["a"], {}, lambda x: x[:, :, 0]).collect() == []
