@@ -61,27 +61,68 @@ def small_forest(features=FEATURES, **params):
     return M.forest(features, **{"numTrees": 8, "maxDepth": 4, **params})
 
 
-def fitted_cohorts(v):
-    """All rows, and one model per group size that has seen the training displays alone."""
-    rows = training_rows(v)
-    return rows, M.fit_cohorts(rows.where("part = 'train'"), "num_ads", small_boosting)
+#: A fit of a cohort ends once a round lowers the loss of its held-out fifth by less than this share.
+COHORT_TOLERANCE = 0.002
+
+
+def cohort_scores(v):
+    """All rows scored by the model of their group size, kept as a table: (keys, clicked, num_ads, part, fitted, model, rounds, prob).
+
+    The models have the published depth, step and limits; of their 200 rounds they run those that lower the held-out loss.
+    ``fitted`` marks the rows that a cohort's fit was given, ``rounds`` is the number of trees of the model.
+    """
+    def compute():
+        rows = training_rows(v)
+        models, fit_set = M.fit_bounded_cohorts(
+            rows.where("part = 'train'"), "num_ads", "display_id", lambda **limits: M.boosting(FEATURES, **limits), tolerance=COHORT_TOLERANCE
+        )
+        keep = ["display_id", "ad_id", "clicked", "num_ads", "part"]
+        routed = M.route(rows, "num_ads", models, max(models), keep, used="model")
+        rounds = F.create_map(*[F.lit(x) for c, m in models.items() for x in (c, m.stages[-1].getNumTrees)])
+        marks = fit_set.select("display_id", "ad_id", F.lit(True).alias("fitted"))
+        return routed.join(marks, ["display_id", "ad_id"], "left").select(
+            *keep, F.coalesce("fitted", F.lit(False)).alias("fitted"), "model", rounds[F.col("model")].alias("rounds"), "prob"
+        )
+
+    return StageStore.of_tables(v.spark, v.sf_dir).get("cohort_scores", compute)
+
+
+FITTED = f"""SELECT num_ads, display_id, sum(num_ads) OVER (PARTITION BY num_ads ORDER BY md5('1:' || CAST(display_id AS VARCHAR)), display_id) <= {M.FIT_ROWS} AS in_fit
+  FROM (SELECT DISTINCT num_ads, display_id FROM sized JOIN split_ids USING (display_id) WHERE part = 'train' AND num_ads BETWEEN 2 AND 12) d"""
 
 
 @query(
     "mdl_cohort_boosting",
-    """SELECT num_ads, count(*) AS rows, count(DISTINCT display_id) AS displays, round(1.0 / num_ads, 8) AS chance, TRUE AS beats_chance
-       FROM sized JOIN split_ids USING (display_id) WHERE part = 'valid' AND num_ads BETWEEN 2 AND 12 GROUP BY 1""", sized=SIZES,
+    """WITH f AS (SELECT num_ads, sum(num_ads) AS fit_rows, count(*) AS fit_displays FROM fit_sets WHERE in_fit GROUP BY 1)
+       SELECT num_ads, count(*) AS rows, count(DISTINCT display_id) AS displays, any_value(fit_rows)::BIGINT AS fit_rows, any_value(fit_displays) AS fit_displays, round(1.0 / num_ads, 8) AS chance
+       FROM sized JOIN split_ids USING (display_id) JOIN f USING (num_ads) WHERE part = 'valid' GROUP BY 1""", sized=SIZES, fit_sets=FITTED,
 )
 def _(v):
-    """Each cohort's own model on the held-out displays: their number, and its MAP against the chance rate."""
-    rows, models = fitted_cohorts(v)
-    held = rows.where(F.col("num_ads").isin(list(models)) & (F.col("part") == "valid"))
-    ranked = M.route(held, "num_ads", models, max(models), ["display_id", "ad_id", "clicked", "num_ads"])
-    sizes = ranked.groupBy("num_ads").agg(F.count("*").alias("rows"), F.count_distinct("display_id").alias("displays"))
-    gains = K.improvement_by_size(ranked).withColumnRenamed("num_ads", "size")
-    return sizes.join(gains, F.col("num_ads") == F.col("size")).select(
-        F.col("num_ads").cast("bigint").alias("num_ads"), "rows", "displays", F.round("chance", 8).alias("chance"), (F.col("map12") > F.col("chance")).alias("beats_chance")
+    """Each cohort's own model: the rows it was fitted on, and the held-out displays that it ranks (``mdl_cohort_map``)."""
+    scored_rows = cohort_scores(v).where(F.col("num_ads") == F.col("model"))
+    held, fit = F.col("part") == "valid", F.col("fitted")
+    out = scored_rows.groupBy(F.col("num_ads").cast("bigint").alias("num_ads")).agg(
+        F.count_if(held).alias("rows"), F.count_distinct(F.when(held, F.col("display_id"))).alias("displays"),
+        F.count_if(fit).alias("fit_rows"), F.count_distinct(F.when(fit, F.col("display_id"))).alias("fit_displays"),
     )
+    return out.withColumn("chance", F.round(1 / F.col("num_ads"), 8)).where("rows > 0")
+
+
+@query("mdl_cohort_map")
+def _(v):
+    """Each cohort's rounds and its MAP on the held-out displays against the chance rate, as it came out.
+
+    The numbers depend on the learner, so there is no SQL for them.
+    """
+    held = cohort_scores(v).where("part = 'valid' AND num_ads = model")
+    rounds = held.groupBy(F.col("num_ads").alias("size")).agg(F.max("rounds").alias("rounds"))
+    return K.improvement_by_size(held).join(rounds, F.col("num_ads") == F.col("size")).drop("size")
+
+
+@query("mdl_cohort_scores")
+def _(v):
+    """The score of every row, with the cohort whose model gave it; no SQL, as for ``mdl_cohort_map``."""
+    return cohort_scores(v).select("display_id", "ad_id", "num_ads", "model", "prob")
 
 
 #: Rounds at most, and the least gain of a round on the held-out rows: fits end long before the last round.
@@ -244,9 +285,7 @@ def _(v):
        FROM sized CROSS JOIN top""", sized=SIZES,
 )
 def _(v):
-    rows, models = fitted_cohorts(v)
-    routed = M.route(rows, "num_ads", models, fallback=max(models), used="model")
-    return routed.select("display_id", "ad_id", "model", scored())
+    return cohort_scores(v).select("display_id", "ad_id", "model", scored())
 
 
 @query(

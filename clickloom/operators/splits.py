@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clickloom.operators.ranks import global_position
+from clickloom.session import materialise
 
 _PREFIX_DIGITS = 3  # 4096 buckets of the hash order
 
@@ -119,6 +120,30 @@ def tail_validation(df: DataFrame, group: str, fraction: float, seed: int = 1, i
     return _with_hash(df, group, seed).withColumn("part", part).drop(_H)
 
 
+def first_groups(df: DataFrame, group: str, stratum: str, rows: int, seed: int = 1) -> DataFrame:
+    """Of every stratum, the rows of its first groups in hash order: as many whole groups as have at most ``rows`` rows.
+
+    One aggregate counts all strata's rows in 4096 buckets of the hash order. Buckets below a stratum's cut are taken by
+    comparing the hash; only the bucket of the cut, 1/4096 of the stratum, is put in order. A null group or stratum is
+    one like any other.
+    """
+    spread = df.withColumns({_H: hash_key(group, seed), "_b": F.substring(hash_key(group, seed), 1, _PREFIX_DIGITS)})
+    counts = spread.groupBy(F.col(stratum).alias("_s"), F.col("_b").alias("_cut")).agg(F.count("*").alias("_n"))
+    # At most 4096 rows of counts for a stratum.
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_s").orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    last = counts.withColumn("_before", before).where(F.col("_before") < rows)
+    cuts = last.groupBy("_s").agg(F.max_by(F.struct("_cut", "_before"), "_cut").alias("c")).select("_s", "c.*")
+    cuts = materialise(cuts)  # one row for a stratum, used twice
+    near = spread.join(cuts, F.col(stratum).eqNullSafe(F.col("_s"))).where(F.col("_b") <= F.col("_cut"))
+    sizes = near.where(F.col("_b") == F.col("_cut")).groupBy("_s", "_before", _H, F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
+    order = W.partitionBy("_s").orderBy(_H, "_g").rowsBetween(W.unboundedPreceding, 0)
+    fits = sizes.withColumn("_end", F.col("_before") + F.sum("_n").over(order)).where(F.col("_end") <= rows)
+    known = fits.select(F.col("_s").alias("_fs"), F.col("_g").alias("_fg"))
+    same = F.col(stratum).eqNullSafe(F.col("_fs")) & F.col(group).eqNullSafe(F.col("_fg"))
+    edge = near.where(F.col("_b") == F.col("_cut")).join(known, same, "left_semi")
+    return near.where(F.col("_b") < F.col("_cut")).select(df.columns).unionByName(edge.select(df.columns))
+
+
 def ordered_cuts(df: DataFrame, group: str, ranks) -> list:
     """Ids at the given ranks of the id order, nulls left out.
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.operators.aggregates import ranking_auc
-from clickloom.operators.splits import kfold
+from clickloom.operators.splits import first_groups, hash_key, kfold
 from clickloom.plans.ranking import click_positions
 from clickloom.session import materialise
 
@@ -29,9 +29,16 @@ from clickloom.session import materialise
 BOOSTING = {"stepSize": 0.07, "maxDepth": 14, "maxIter": 200, "featureSubsetStrategy": "0.8"}
 FOREST = {"numTrees": 1000, "maxDepth": 15, "subsamplingRate": 0.75, "featureSubsetStrategy": "0.5"}
 COHORTS = tuple(range(2, 13))
+MIN_CHILD_WEIGHT, GAMMA = 0.25, 0.1
+
+#: Rows that a cohort's model is fitted on at most.
+FIT_ROWS = 20_000
 
 KEYS = ("display_id", "ad_id")
 
+#: Marks the rows that a stopping fit validates on.
+HELD_OUT = "_held_out"
+
 
 def pipeline(features: Sequence[str], stage: Estimator) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), stage])
@@ -78,6 +85,46 @@ def fit_cohorts(
         return dict(pool.map(fit, [c for c in cohorts if c in present]))
 
 
+def cohort_limits(cohort: int, rows: int) -> dict[str, float]:
+    """The published limits of a cohort's trees in this learner's terms.
+
+    The least child weight is 0.25 + cohort / 2 - 1 in sums of p (1 - p), of which a row has at most a quarter: a share of
+    the ``rows`` of the fit. The least loss reduction of a split is a sum over rows there and a mean over rows here.
+    """
+    least = MIN_CHILD_WEIGHT + cohort / 2 - 1
+    return {"minWeightFractionPerNode": min(0.49, 4 * least / max(rows, 1)), "minInfoGain": GAMMA / max(rows, 1)}
+
+
+def fit_bounded_cohorts(
+    df: DataFrame, cohort: str, group: str, make: Callable[..., Pipeline], rows: int = FIT_ROWS, tolerance: float | None = None,
+    cohorts: Sequence[int] = COHORTS, parallelism: int = 4, seed: int = 1,
+) -> tuple[dict[int, Model], DataFrame]:
+    """One model per cohort, each fitted on whole groups of at most ``rows`` rows, the first in hash order; and those rows.
+
+    The bound lets deep trees and many rounds run at any size of ``df``; scoring has no bound. ``make`` takes the limits of
+    the cohort as keyword arguments. With a ``tolerance``, a fifth of the groups (by another hash) are marked ``HELD_OUT``
+    and a fit ends once a round lowers their loss by less than that share. Cohorts without rows on both sides of that mark
+    are fitted without it.
+    """
+    held = hash_key(group, seed + 1) < F.lit("3333")
+    bounded = first_groups(df.where(F.col(cohort).isin(list(cohorts))), group, cohort, rows, seed)
+    fit_set = materialise(bounded.withColumn(HELD_OUT, held if tolerance is not None else F.lit(False)))
+    sides = fit_set.groupBy(cohort).agg(F.count("*").alias("n"), F.count_if(HELD_OUT).alias("held")).collect()  # one row a cohort
+
+    def fit(r) -> tuple[int, Model]:
+        stages = make(**cohort_limits(r[cohort], r["n"]))
+        stops = tolerance is not None and 0 < r["held"] < r["n"]
+        # A bounded number of rows: a few partitions, as every level of every tree is a job over them.
+        part = fit_set.where(F.col(cohort) == r[cohort]).coalesce(2).cache()
+        try:
+            return r[cohort], (stopping(stages, tolerance) if stops else stages).fit(part)
+        finally:
+            part.unpersist()
+
+    with ThreadPool(parallelism) as pool:
+        return dict(pool.map(fit, sides, chunksize=1)), fit_set
+
+
 def route(
     df: DataFrame, cohort: str, models: Mapping[int, Model], fallback: int, keep: Sequence[str] = KEYS, used: str | None = None
 ) -> DataFrame:
@@ -120,10 +167,6 @@ def staged_scores(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> D
     return out.select(*keep, F.explode(cells).alias("c")).select(*keep, "c.*")
 
 
-#: Marks the rows that a stopping fit validates on.
-HELD_OUT = "_held_out"
-
-
 def stopping(pipeline: Pipeline, tolerance: float) -> Pipeline:
     """The boosting pipeline with a fit that stops by the loss of the rows marked ``HELD_OUT``, which it does not learn from."""
     *prepare, boosted = pipeline.getStages()
