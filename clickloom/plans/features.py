@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,34 +14,81 @@ from clickloom.operators.profiles import CLICK_STATS, VIEW_STATS
 from clickloom.operators.ranks import global_position
 from clickloom.plans.wide import AD_KEYS, PAGE_KEYS
 
+#: The columns that name a row of the wide table.
+ROW = ("display_id", "ad_id")
+#: Profile rows that one insertion broadcasts at most, all its keys together: some 50 MB of 25 statistics and a key each.
+SMALL_PROFILES = 200_000
 VIEW_AD_KEYS = tuple(f"ad_{k}" for k in PAGE_KEYS if k != "uuid")
 DOC_KINDS = {"topic": ("topics", 8), "entity": ("entities", 8), "category": ("categories", 2)}
 
 
+def lookup(
+    df: DataFrame, profiles: DataFrame, keys: Mapping[str, str], stats: Sequence[str], infix: str = "", row: Sequence[str] = ROW
+) -> DataFrame:
+    """(row key, ``<column><infix>_<stat>`` ...): the long-form profile of every key of every row, null where it has none.
+
+    ``keys`` maps a column of ``df`` to the ``key_name`` it is looked up under; null keys match the null profile. The keys
+    are stacked, so there is one join however many they are, and what it moves is a row key and one value at a time, never
+    the wide row; a hot key value meets one profile row, so adaptive execution can split it. The values found are gathered
+    by row key, at most ``len(keys)`` of them. Rows that repeat whole share a result; two rows with one row key and
+    different values of a key are an error.
+    """
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("slot"), F.lit(name).alias("name"), F.col(c).cast("string").alias("value"))
+        for i, (c, name) in enumerate(keys.items())
+    ])
+    long = df.select(*row, F.explode(cells).alias("_c"))
+    table = profiles.select(F.col("key_name").alias("_name"), F.col("key_value").alias("_value"), F.struct(*stats).alias("_found"))
+    found = long.join(table, (F.col("_c.name") == F.col("_name")) & F.col("_c.value").eqNullSafe(F.col("_value")), "left")
+    entry = F.struct(F.col("_c.slot").alias("slot"), F.col("_found").alias("found"))
+    by_slot = found.groupBy(*row).agg(F.map_from_entries(F.array_distinct(F.collect_list(entry))).alias("_m"))
+    return by_slot.select(*row, *[F.col("_m")[i][s].alias(f"{c}{infix}_{s}") for i, c in enumerate(keys) for s in stats])
+
+
+def attach(df: DataFrame, found: DataFrame, row: Sequence[str] = ROW) -> DataFrame:
+    """The columns of ``found`` put onto the rows with its row key; null ids match each other."""
+    named = found.withColumnsRenamed({c: f"_row_{c}" for c in row})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_row_{c}")) for c in row])
+    return df.join(named, same, "left").drop(*[f"_row_{c}" for c in row])
+
+
 def insert_profiles(
-    df: DataFrame, profiles: DataFrame, keys: Mapping[str, str], stats: Sequence[str], infix: str = "", how: str = "left"
+    df: DataFrame, profiles: DataFrame, keys: Mapping[str, str], stats: Sequence[str], infix: str = "", row: Sequence[str] = ROW,
+    small: int = SMALL_PROFILES,
 ) -> DataFrame:
     """Join the long-form profile of each key onto the rows as ``<column><infix>_<stat>``, 0 where missing.
 
-    ``keys`` maps a column of ``df`` to the ``key_name`` it is looked up under. Null keys match the
-    null profile. Profiles are one row per key value, so Spark broadcasts the small ones by measured
-    size and sort-merges the others, splitting hot keys.
+    ``keys`` maps a column of ``df`` to the ``key_name`` it is looked up under. Null keys match the null profile. The
+    profiles are counted first: the smallest, of at most ``small`` rows together, are broadcast, so the rows do not move;
+    all other keys go through one ``lookup``, after which the rows move once. ``row`` need name a row only for those.
     """
-    added: list[str] = []
-    for column, key_name in keys.items():
+    counts = {r["key_name"]: r["count"] for r in profiles.groupBy("key_name").count().collect()}  # a handful of key names
+    left, sent, added = small, [], []
+    for column in sorted(keys, key=lambda c: counts.get(keys[c], 0)):
+        left -= counts.get(keys[column], 0)
+        if left >= 0:
+            sent.append(column)
+    rest = {c: n for c, n in keys.items() if c not in sent}
+    if rest:
+        found = lookup(df, profiles, rest, stats, infix, row)
+        df = attach(df, found, row)
+        added += [c for c in found.columns if c not in row]
+    for column in sent:
         names = [f"{column}{infix}_{s}" for s in stats]
-        one = profiles.where(F.col("key_name") == key_name).select(
+        one = profiles.where(F.col("key_name") == keys[column]).select(
             F.col("key_value").alias("_key"), *[F.col(s).alias(n) for s, n in zip(stats, names, strict=True)]
         )
-        same = F.col(column).cast("string").eqNullSafe(F.col("_key"))
-        df = df.join(one, same, how).drop("_key")
+        df = df.join(F.broadcast(one), F.col(column).cast("string").eqNullSafe(F.col("_key")), "left").drop("_key")
         added += names
     return df.fillna(0, subset=added)  # one projection for all joins
 
 
+CLICK_KEYS = {k: k for k in (*PAGE_KEYS, *AD_KEYS)}
+
+
 def insert_click_profiles(df: DataFrame, profiles: DataFrame) -> DataFrame:
     """11 statistics of each of the 10 keys."""
-    return insert_profiles(df, profiles, {k: k for k in (*PAGE_KEYS, *AD_KEYS)}, CLICK_STATS)
+    return insert_profiles(df, profiles, CLICK_KEYS, CLICK_STATS)
 
 
 def insert_view_profiles(df: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -162,15 +211,19 @@ def category_levels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def category_codes(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """Columns replaced by their level codes; null gets a level of its own after the others."""
+def category_codes(df: DataFrame, columns: Sequence[str], keep: Sequence[str], row: Sequence[str] | None = None) -> DataFrame:
+    """Columns replaced by their level codes; null gets a level of its own after the others.
+
+    ``row`` names the row key, all kept columns unless given; ``lookup`` says what it has to tell apart.
+    """
+    row = list(keep if row is None else row)
     levels = category_levels(df, columns)
     counts = {r["column"]: r["n"] for r in levels.groupBy("column").agg(F.max("levels").alias("n")).collect()}
-    for c in columns:
-        one = levels.where(F.col("column") == c).select(F.col("value").alias("_value"), F.col("code").alias(f"_code_{c}"))
-        df = df.join(one, F.col(c).cast("string") == F.col("_value"), "left").drop("_value")
-    codes = [F.coalesce(f"_code_{c}", F.lit(counts.get(c, 0) + 1)).alias(c) for c in columns]
-    return df.select(*keep, *codes)
+    named = levels.withColumnsRenamed({"column": "key_name", "value": "key_value"})
+    found = lookup(df, named, {c: c for c in columns}, ["code"], row=row)
+    codes = [F.coalesce(f"{c}_code", F.lit(counts.get(c, 0) + 1)).alias(c) for c in columns]
+    coded = found.select(*row, *codes)
+    return coded.select(*keep, *columns) if set(keep) <= set(row) else attach(df.select(*keep), coded, row)
 
 
 def bayes_matrix(df: DataFrame, categories: Sequence[str], numerics: Sequence[str], label: str = "clicked") -> DataFrame:
@@ -178,7 +231,7 @@ def bayes_matrix(df: DataFrame, categories: Sequence[str], numerics: Sequence[st
     keys = ["display_id", "ad_id"]
     st = scaling_statistics(df, numerics)
     scaled = df.select(*keys, label, *categories, *[_scaled(c, st[c]["mean"], st[c]["sd"]).alias(c) for c in numerics])
-    return category_codes(scaled, categories, [*keys, label, *numerics])
+    return category_codes(scaled, categories, [*keys, label, *numerics], keys)
 
 
 def sequence_matrix(df: DataFrame, numerics: Sequence[str], label: str = "clicked") -> DataFrame:
