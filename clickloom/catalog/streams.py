@@ -12,8 +12,8 @@ from clickloom.streaming import streams as T
 from clickloom.streaming.keyed import gap_profile, keyed_gaps
 
 PARTS = 4
-#: A day: an entry of state is the day of one user.
-GAP_BUCKET_MS = 24 * S.HOUR_MS
+#: A day: an entry of state is the day of one shard of the users, of about ``ENTRY_ROWS`` rows.
+GAP_BUCKET_MS, ENTRY_ROWS = 24 * S.HOUR_MS, 20_000
 COUNTS = """SELECT document_id, count(*) AS tot, count(*) FILTER (platform = 1) AS platform1, count(*) FILTER (platform = 2) AS platform2,
   count(*) FILTER (platform = 3) AS platform3, min(ts) AS ts_min, max(ts) AS ts_max, round(avg(CAST(ts AS DOUBLE)) / 3600000, 4) AS ts_avg FROM page_views GROUP BY 1"""
 GAPS = """SELECT uuid, tot, ts_min, ts_max, ts_avg, ts_var, CASE WHEN tot = 1 THEN 0 ELSE g_min END AS gap_min, CASE WHEN tot = 1 THEN 0 ELSE g_max END AS gap_max,
@@ -62,8 +62,10 @@ def _(v):
     root, out = fresh_dir(v.spark, "stream-in"), fresh_dir(v.spark, "stream-out")
     write_parts(v, root, range(PARTS))
     # The files are dealt by a hash, so a row may come as late as the log is long; at the watermark itself it is too late.
-    span = v.page_views.agg(F.max("ts") - F.min("ts")).first()[0] or 0
-    keyed_gaps(stream_of(v, root), "uuid", out, fresh_dir(v.spark, "ckpt"), f"{span + 1} milliseconds", bucket_ms=GAP_BUCKET_MS)
+    span, rows = v.page_views.agg(F.max("ts") - F.min("ts"), F.count("*")).first()
+    shards = 1 + rows // (ENTRY_ROWS * (1 + (span or 0) // GAP_BUCKET_MS))
+    delay = f"{(span or 0) + 1} milliseconds"
+    keyed_gaps(stream_of(v, root), "uuid", out, fresh_dir(v.spark, "ckpt"), delay, bucket_ms=GAP_BUCKET_MS, shards=shards)
     return readable(gap_profile(v.spark, out, "uuid"))
 
 

@@ -90,3 +90,17 @@ def test_versions_stay_few(spark, tmp_path):
 def test_no_batch_yet(spark, tmp_path):
     with pytest.raises(ValueError, match="no batch"):
         VersionedTable(spark, str(tmp_path / "none"), ["k"]).read()
+
+
+def test_many_small_keys_share_entries(spark, tmp_path):
+    """The engine calls the function for shards and buckets, however many keys there are; keys of a shard stay apart."""
+    root, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    log = spark.range(6000).select(
+        F.when(F.col("id") % 2000 > 0, F.col("id") % 2000).alias("uuid"), F.lit(0).cast("bigint").alias("document_id"),
+        (F.col("id") % 7 * 9000 + F.col("id") % 2).alias("ts"), F.lit(1).alias("platform"), F.lit("US").alias("geo_location"), F.lit(1).alias("traffic_source"),
+    )
+    write_files(log, root, "hash(uuid, ts)", 3)
+    query = keyed_gaps(T.page_view_stream(spark, root, 1), "uuid", out, ckpt, "1 hour", 20_000, shards=4)
+    check(gap_profile(spark, out, "uuid"), P.time_profile(log, ["uuid"], "ts", {}))
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(sizes) <= 3 * 4 * 3 < log.select("uuid").distinct().count() / 10
