@@ -99,6 +99,30 @@ def test_user_function_of_gaps(skewed):
         assert got[int(k)] == pytest.approx(np.log1p(np.diff(np.sort(g.ts.to_numpy()))).sum())
 
 
+@pytest.mark.parametrize("rows", [1, 3, 10_000])
+def test_user_function_groups_over_batch_borders(spark, skewed, rows):
+    """Small groups share a batch and large ones span many; the function is called once a group, and no worker call is a group."""
+    df, pdf = skewed
+
+    def partial(gaps, counts):
+        assert isinstance(gaps, np.ndarray) and (np.diff(gaps) > 0).all()
+        return [float((gaps * counts).sum()), float(counts.sum()), 1.0]
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        states = gap_apply(df.where("k IS NOT NULL"), ["k"], "ts", partial, 3, bucket_ms=50)
+        assert "FlatMapGroups" not in states._jdf.queryExecution().toString()
+        found = states.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == len({(r["k"], r["part"]) for r in found})
+    for k, g in pdf[pdf.k >= 0].groupby("k"):
+        d = np.diff(np.sort(g.ts.to_numpy()))
+        mine = [r for r in found if r["k"] == k]
+        assert {r["part"] for r in mine} == set(d // 50) and sum(r["state"][0] for r in mine) == d.sum()
+        assert sum(r["state"][1] for r in mine) == len(d)
+
+
 def test_moments_merge_for_any_split(skewed):
     df, pdf = skewed
     for batches in (1, 2, 7):
