@@ -9,7 +9,7 @@ from clickloom.operators.ranks import group_totals
 from clickloom.operators.splits import random_blocks, sample_groups
 from clickloom.plans import baseline as B
 from clickloom.plans import ranking as K
-from clickloom.session import fresh_dir
+from clickloom.session import fresh_dir, materialise
 from clickloom.sources import readers as R
 from clickloom.sources import writers as O
 from clickloom.sources.stages import StageStore
@@ -50,7 +50,7 @@ def _(v):
 def _(v):
     """Eight batches, of which one lacks half of its rows at first and is written again; all rows are read back."""
     path = fresh_dir(v.spark, "batch-table")
-    rows = random_blocks(v.impressions.drop("price"), "display_id", 8)
+    rows = random_blocks(materialise(v.impressions.drop("price")), "display_id", 8)
     O.partitioned(rows.where("block <> 3 OR ad_id % 2 = 0"), path, ["block"])
     O.replace_partitions(rows.where("block = 3"), path, ["block"])
     return v.spark.read.parquet(path)
@@ -65,7 +65,7 @@ def _(v):
 def _(v):
     """Cohort by batch; one batch of one cohort is first written without its clicks, then again by itself."""
     path = fresh_dir(v.spark, "cohorts")
-    rows = random_blocks(sized(v), "display_id", 4).where(F.col("num_ads").between(2, 12))
+    rows = random_blocks(materialise(sized(v)), "display_id", 4).where(F.col("num_ads").between(2, 12))
     one = (F.col("num_ads") == 5) & (F.col("block") == 2)
     O.partitioned(rows.where(~(one & (F.col("clicked") == 1))), path, ["num_ads", "block"])
     O.replace_partitions(rows.where(one), path, ["num_ads", "block"])
