@@ -11,9 +11,12 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ LENGTH, END_ID = 4096, 1
 GROUP_ROWS = 20_000
 #: Words whose ids a task remembers before it starts anew.
 CACHE_WORDS = 600_000
+#: Bytes of texts whose words are looked up together, each distinct one once.
+HELD_BYTES = 12 << 20
 
 
 #: Words of Latin letters, digits and signs without an apostrophe or ``<``. No rule of the tokenizer reaches across their
@@ -35,12 +40,23 @@ _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
 
 
+class _Learned(dict):
+    """A dictionary that asks ``learn`` for what it does not hold yet."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, key):
+        self[key] = value = self.learn(key)
+        return value
+
+
 class WordEncoder:
     """Ids of whole texts from remembered ids of their words.
 
     The tokenizer never joins what white space parts, so a text's ids are its words' ids in a row; each new word is
-    encoded by the tokenizer itself (plain words by its model, which spares the work around it). Words are cut at ASCII
-    white space only and keep everything else.
+    encoded by the tokenizer itself (plain words by its model, which spares the work around it, and a piece that many
+    words share is asked for once). Words are cut at ASCII white space only and keep everything else.
     """
 
     def __init__(self, path: str):
@@ -50,45 +66,60 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self._clear()
 
-    def word_ids(self, word: str) -> list[int]:
+    def _piece_ids(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = "".join([_BYTES[b] for b in piece.encode()])
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def word_ids(self, word: str) -> bytes:
+        """The ids as unsigned 32-bit integers."""
         if not _PLAIN.fullmatch(word):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        out = []
-        for piece in _PIECES.findall(word.lower()):
-            if not piece.isascii():
-                piece = "".join([_BYTES[b] for b in piece.encode()])
-            out += [t.id for t in self.model.tokenize(piece)]
-        return out
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(word.lower())))
 
     def _clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.first, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        for word in words:
-            ids, at = self.word_ids(word.decode()), len(self.place)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if at == len(self.first):
-                self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
-            self.flat[self.used:self.used + len(ids)] = ids
-            self.first[at], self.count[at] = self.used, len(ids)
-            self.used += len(ids)
-            self.place[word] = at
+        self.pieces, self.place = _Learned(self._piece_ids), _Learned(self._learn)
+        self.flat, self.first = array("I"), array("q", [0])
 
-    def encode(self, text: bytes) -> np.ndarray:
-        words = text.split()
+    def _learn(self, word: bytes) -> int:
+        """The place of a new word, whose ids are ``flat`` from ``first`` of it to that of the next."""
+        self.flat.frombytes(self.word_ids(word.decode()))
+        self.first.append(len(self.flat))
+        return len(self.first) - 2
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a binary column; a null text has none. A word that the column repeats is looked up once."""
         if len(self.place) > CACHE_WORDS:
             self._clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.place]
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        count = self.count[at]
-        ends = np.cumsum(count)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.first[at] - (ends - count), count) + np.arange(total)]
+        words = pc.ascii_split_whitespace(texts.fill_null(b"").view(pa.string()))
+        coded = words.flatten().dictionary_encode()
+        place = np.fromiter(map(self.place.__getitem__, coded.dictionary.view(pa.binary()).to_pylist()), np.int64, len(coded.dictionary))
+        flat, first = np.array(self.flat), np.array(self.first)
+        start = first[place].astype(np.int64)
+        count = first[place + 1] - start
+        at, bounds = coded.indices.to_numpy(), words.offsets.to_numpy()
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            some = at[low:high]
+            n = count[some]
+            ends = np.cumsum(n)
+            total = int(ends[-1]) if len(ends) else 0
+            yield flat[np.repeat(start[some] - (ends - n), n) + np.arange(total)]
+
+    def encode(self, text: bytes) -> np.ndarray:
+        return next(self.encode_all(pa.array([text], pa.binary())))
+
+
+def together(batches: Iterator[pa.RecordBatch], limit: int = HELD_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in the same order in fewer batches: neighbours of at most ``limit`` bytes together become one."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
@@ -99,10 +130,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataF
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = WordEncoder(tokenizer)
-        for batch in batches:
+        for batch in together(batches):
             rows: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.append(encoder.encode(text.as_py() or b""), np.uint32(END_ID)).astype("<u4")
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(batch.column("text")), strict=True):
+                ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), length)):
                     part = ids[start:start + length]
                     for column, x in zip(rows, (doc_id, piece, start, len(part), zlib.crc32(part.tobytes())), strict=True):

@@ -96,3 +96,38 @@ def test_bounds_and_bins(lengths):
 def test_bounds_beat_the_sum(lengths, want):
     values, counts = np.unique(np.array(lengths, np.int64), return_counts=True)
     assert pk.lower_bound(values, counts, 100) == want
+
+
+def test_words_are_looked_up_once_a_batch():
+    """Words that texts of a column share are looked up once; odd white space, null and empty texts keep their places."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["the cat the cat", None, "", " \t\x0bcat\x0c\r\nthe\x1cé ", "don't <|endoftext|> 北京 the"] * 40
+    encoder, asked = pk.WordEncoder(path), collections.Counter()
+
+    class Counted(dict):
+        def __missing__(self, word):
+            self[word] = value = encoder._learn(word)
+            return value
+
+        def __getitem__(self, word):
+            asked[word] += 1
+            return super().__getitem__(word)
+
+    encoder.place = Counted()
+    got = [x.tolist() for x in encoder.encode_all(pa.array([None if t is None else t.encode() for t in texts], pa.binary()))]
+    tokenizer = Tokenizer.from_file(path)
+    assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert set(asked.values()) == {1} and asked[b"cat"] == 1
+
+
+def test_batches_meet_and_keep_their_rows():
+    import pyarrow as pa
+
+    batches = [pa.record_batch([pa.array([f"{i}" * n])], ["text"]) for i, n in enumerate([5, 5, 400, 5, 5, 5])]
+    got = list(pk.together(iter(batches), 100))
+    assert pa.Table.from_batches(got).column("text").to_pylist() == [b.column("text")[0].as_py() for b in batches]
+    assert [b.num_rows for b in got] == [2, 1, 3] and not list(pk.together(iter([])))
