@@ -45,7 +45,19 @@ def test_the_forest_query_grows_the_published_trees(monkeypatch, rows):
     whole = M.forest_scores
     monkeypatch.setattr(M, "forest_scores", lambda *a, **k: asked.append(k.get("trees", M.FOREST["numTrees"])) or whole(*a, **k))
     got = settings(monkeypatch, RandomForestClassifier, "mdl_forest", rows)
-    assert asked == [1000] and (got[0]["maxDepth"], got[0]["numTrees"], got[0]["subsamplingRate"]) == (15, M.TREES_AT_ONCE, 0.75)
+    assert asked == [1000] and (got[0]["maxDepth"], got[0]["numTrees"], got[0]["subsamplingRate"]) == (15, 1000, 0.75)
+
+
+def test_many_rows_grow_fewer_trees_at_once(monkeypatch, rows):
+    asked = []
+    monkeypatch.setattr(M, "ROW_TREES", 0)
+    monkeypatch.setattr(M, "TREES_AT_ONCE", 2)
+
+    def make(**params):
+        asked.append(params["numTrees"])
+        return M.forest(["x", "y"], **{"maxDepth": 2, **params})
+
+    assert M.forest_scores(rows, rows, make, ["display_id"], trees=5).count() == 270 and asked[2:] == [2, 2, 1]
 
 
 def test_the_rounds_query_fits_the_published_rounds(monkeypatch, rows):
